@@ -17,6 +17,8 @@ fine; extra columns of the table are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -77,6 +79,10 @@ def usable_time(t: Column) -> Column:
     return F.coalesce(F.when(n.isNotNull(), number).when(shape, date), F.lit(False))
 
 
+def _tidy(names: list[str]) -> Callable[[Column], Column]:
+    return lambda g: F.struct(F.array(*[F.coalesce(g.getField(n), F.lit("")) for n in names]).alias("fields"), g.getField("corrupt").alias("corrupt"))
+
+
 def read_permissively(lines: DataFrame) -> DataFrame:
     """Every row after the header: ``line_id, raw, names, delim, fields, well_quoted, corrupt``.
 
@@ -91,9 +97,10 @@ def read_permissively(lines: DataFrame) -> DataFrame:
     for x in shapes:
         names = [f"f{i}" for i in range(x.width)]
         schema = ", ".join(f"{n} string" for n in names) + ", corrupt string"
-        got = F.from_csv("raw", F.lit(schema), {"sep": x.delim, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "corrupt", "maxCharsPerColumn": "-1", "lineSep": _MARK})
-        one = F.transform(F.array(got), lambda g, names=names: F.struct(F.array(*[F.coalesce(g.getField(n), F.lit("")) for n in names]).alias("fields"), g.getField("corrupt").alias("corrupt")))
-        parsed = F.when((F.col("delim") == x.delim) & (width == x.width) & ~F.contains("raw", F.lit('"')) & ~F.col("raw").rlike("[\r\n]"), F.get(one, F.lit(0))).otherwise(parsed)
+        got = F.from_csv("raw", F.lit(schema), {"sep": x.delim, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "corrupt", "maxCharsPerColumn": "-1"})
+        # the reader takes one line; a record with line breaks goes the exact way
+        here = (F.col("delim") == x.delim) & (width == x.width) & ~F.col("raw").rlike("[\r\n]")
+        parsed = F.when(here, F.get(F.transform(F.array(got), _tidy(names)), F.lit(0))).otherwise(parsed)
     return rows.withColumns({"p": pieces(F.col("raw")), "parsed": parsed}).select(
         "line_id", "file_name", "line_no", "raw", "names", "delim",
         quoting_holds(F.col("p"), F.col("delim")).alias("well_quoted"),
