@@ -5,12 +5,28 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from tidewake.operators import badrows, distinct, orphans, pointintime, redelivery, timestamps
+from tidewake.operators import badrows, distinct, drift, orphans, pointintime, redelivery, timestamps
 from tidewake.session import table as t
 
 
+def p1_found(s: SparkSession, d: str) -> DataFrame:
+    return drift.changes(t(s, d, "archive_lines")).select("file_name", "change", "old_field", "new_field")
+
+
+def p1_log(s: SparkSession, d: str) -> DataFrame:
+    """The change log in order of feed and file."""
+    return drift.changes(t(s, d, "archive_lines")).orderBy("feed", "file_seq", "change", "old_field", "new_field")
+
+
+def p1_schema(s: SparkSession, d: str) -> DataFrame:
+    return drift.union_schema(t(s, d, "archive_lines"))
+
+
+def p1_records(s: SparkSession, d: str) -> DataFrame:
+    return drift.records(t(s, d, "archive_lines"))
+
+
 def _orphans(s: SparkSession, d: str) -> DataFrame:
     return orphans.orphan_references(t(s, d, "comments"), t(s, d, "posts"), t(s, d, "threads"), t(s, d, "removals"))
 
@@ -61,5 +77,5 @@ def p7_attributes(s: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p2_found, p2_report, p3_found, p4_distinct, p4_partials, p5_found, p5_valid, p6_found, p6_unique, p7_found, p7_attributes)
+    f.__name__: f for f in (p1_found, p1_log, p1_schema, p1_records, p2_found, p2_report, p3_found, p4_distinct, p4_partials, p5_found, p5_valid, p6_found, p6_unique, p7_found, p7_attributes)
 }
