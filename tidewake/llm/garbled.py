@@ -39,6 +39,7 @@ CONFUSIONS = tuple((w, r) for w in (*MULTI, *SINGLE) for r in READ_AS if w != r)
 #: Undoings in a row; distinct pairs of runs that teach a confusion; how many times as frequent restored words must be.
 DEPTH, LESSONS, RATIO = 3, 2, 4.0
 LOST = "�"
+NUMBER = r"[0-9][0-9,.]*"
 _TOKEN = "[ \\t\\r\\n\\f]+"
 
 
@@ -86,7 +87,7 @@ def _confuse(text: str, written: str, read: str) -> str | None:
 def passages(documents: DataFrame) -> DataFrame:
     """Distinct passages with non-ASCII characters, numbers masked: ``rest`` (their ASCII remainder), ``passage``, ``n``."""
     cut = F.filter(F.split(F.lower("text"), r"\n+|(?<=[.!?]) +"), lambda p: p.rlike(r"[^\x00-\x7f]"))
-    masked = F.regexp_replace("p", r"\d[\d,.]*", "0")
+    masked = F.regexp_replace("p", NUMBER, "0")
     p = documents.where("text is not null").select(F.explode(F.array_distinct(cut)).alias("p")).select(masked.alias("passage"))
     return p.groupBy("passage").agg(F.count(F.lit(1)).alias("n")).withColumn("rest", F.regexp_replace("passage", r"[^\x00-\x7f]+", "")).where(F.length("rest") >= 6)
 
@@ -152,11 +153,16 @@ def tokens(documents: DataFrame) -> DataFrame:
 
 
 def keys_of(token: str) -> set[str]:
-    """Vocabulary keys: words (letters and non-ASCII), non-ASCII runs between CJK stops, and single characters."""
+    """Vocabulary keys: words (letters and non-ASCII), non-ASCII runs between CJK stops, single characters, and the token with numbers masked."""
     t = token.lower()
     out = {"w" + w for w in re.findall(r"[a-z\u0080-\U0010ffff]+", t) if not w.isascii()}
     out |= {"r" + r for r in re.findall(r"[^\x00-\x7f、。]+", t)}
-    return out | {"c" + c for c in t if c > "\x7f"}
+    return out | {"c" + c for c in t if c > "\x7f"} | {"m" + re.sub(NUMBER, "0", t)}
+
+
+def telling(token: str) -> bool:
+    """Whether a single-byte confusion shows in this token by itself: it has letters beside the sign, or a number, or two signs."""
+    return len(re.findall(r"[^\x00-\x7f]", token)) > 1 or re.search(r"[A-Za-z0-9]", token) is not None
 
 
 def vocabulary(counted: DataFrame) -> DataFrame:
@@ -166,7 +172,7 @@ def vocabulary(counted: DataFrame) -> DataFrame:
     def tagged(tag: str, parts: Column) -> Column:
         return F.transform(F.filter(parts, lambda w: w.rlike(r"[^\x00-\x7f]")), lambda w: F.concat(F.lit(tag), w))
 
-    keys = F.array_distinct(F.concat(tagged("w", F.split(t, r"[^a-z\x{80}-\x{10ffff}]+")), tagged("r", F.split(t, r"[\x00-\x7f、。]+")), tagged("c", F.split(t, ""))))
+    keys = F.array_distinct(F.concat(tagged("w", F.split(t, r"[^a-z\x{80}-\x{10ffff}]+")), tagged("r", F.split(t, r"[\x00-\x7f、。]+")), tagged("c", F.split(t, "")), F.array(F.concat(F.lit("m"), F.regexp_replace(t, NUMBER, "0")))))
     return counted.select("n", F.explode(keys).alias("key")).groupBy("key").agg(F.sum("n").alias("n"))
 
 
@@ -194,6 +200,8 @@ def _undoings(token: str, known: tuple[tuple[str, str], ...]) -> dict[str, str]:
                         got = "".join((d if x is not None and (d := decode(x, w)) is not None else p) for p, x in parts)
                     if got is None or got in forms or got == token or any(c < " " for c in got):
                         continue
+                    if w in SINGLE and not telling(t):
+                        continue
                     k = "single" if kind == "single" or w in SINGLE else ("utf-8" if w == "utf-8" and kind in ("multi", "utf-8") else "other")
                     if got not in out:
                         nxt.setdefault(got, k)
@@ -211,7 +219,7 @@ def _candidates(known: tuple[tuple[str, str], ...]) -> Callable[[Iterator[pd.Dat
                 old = keys_of(token)
                 for form, kind in _undoings(token, known).items():
                     new = keys_of(form)
-                    out.append((token, form, kind, sorted(old - new), sorted(new)))
+                    out.append((token, form, kind, sorted(old - new), sorted(new - old)))
             yield pd.DataFrame(out, columns=["token", "form", "kind", "lost", "won"])
 
     return run
@@ -237,13 +245,15 @@ def garbled_tokens(documents: DataFrame) -> DataFrame:
     scored = looked.groupBy("token", "form", "kind").agg(
         (level(F.col("won"), tag == "w") - level(~F.col("won"), tag == "w")).alias("words"), share(tag == "w", 3).alias("known"),
         (level(F.col("won"), tag == "r") - level(~F.col("won"), tag == "r")).alias("runs"), share(tag == "r", 3).alias("known_runs"),
+        (level(F.col("won"), tag == "m") - level(~F.col("won"), tag == "m")).alias("masks"), share(tag == "m", 3).alias("known_masks"),
         share(tag == "c", 3).alias("letters"), F.count_if(F.col("won") & (tag == "c")).alias("n_letters"),
         F.max(F.col("won") & (F.col("key") == "c" + LOST)).alias("lost"),
     )
     home = (F.col("known") >= 0.75) & (F.col("words") >= F.log(F.lit(RATIO)))
     home_runs = (F.col("known_runs") >= 0.75) & (F.col("runs") >= F.log(F.lit(RATIO)))
     strong = (F.col("kind") == "utf-8") & (F.col("lost") | (F.col("letters") == 1) & (F.col("n_letters") >= 2))
-    good = scored.where(home | (F.col("kind") != "single") & home_runs | strong).withColumn("score", F.col("words") + F.col("known") + F.col("letters"))
+    shape = (F.col("known_masks") == 1) & (F.col("masks") >= F.log(F.lit(RATIO)))
+    good = scored.where(F.when(F.col("kind") == "single", F.when(F.col("token").rlike("[A-Za-z]"), home).otherwise(home & shape)).otherwise(home) | (F.col("kind") != "single") & home_runs | strong).withColumn("score", F.col("words") + F.col("known") + F.col("letters"))
     return good.groupBy("token").agg(F.max_by("form", F.struct("score", "form")).alias("form"))
 
 
