@@ -29,6 +29,8 @@ from tidewake.session import join_small
 DELIMITERS = (",", ";", "|", "\t")
 #: Headers wider than this are read by the exact path only.
 WIDEST = 64
+#: The parser gives up on a record with more fields than this; such a one goes the exact way too.
+MOST = 2048
 #: Parts fields in the exact path: a noncharacter, which no text has.
 _MARK = "\uffff"
 FIELDS = ("id", "created_utc", "body", "author", "score", "subreddit")
@@ -97,16 +99,15 @@ def read_permissively(lines: DataFrame) -> DataFrame:
     for x in shapes:
         names = [f"f{i}" for i in range(x.width)]
         schema = ", ".join(f"{n} string" for n in names) + ", corrupt string"
-        got = F.from_csv("raw", F.lit(schema), {"sep": x.delim, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "corrupt", "maxCharsPerColumn": "-1"})
+        got = F.from_csv("raw", F.lit(schema), {"sep": x.delim, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "corrupt", "maxCharsPerColumn": "-1", "maxColumns": str(MOST), "inputBufferSize": "16384"})
         # the reader takes one line; a record with line breaks goes the exact way
-        here = (F.col("delim") == x.delim) & (width == x.width) & ~F.col("raw").rlike("[\r\n]")
+        here = (F.col("delim") == x.delim) & (width == x.width) & ~F.col("raw").rlike("[\r\n]") & (F.length("raw") - F.length(F.replace("raw", F.lit(x.delim))) < MOST - 1)
         parsed = F.when(here, F.get(F.transform(F.array(got), _tidy(names)), F.lit(0))).otherwise(parsed)
-    return rows.withColumns({"p": pieces(F.col("raw")), "parsed": parsed}).select(
-        "line_id", "file_name", "line_no", "raw", "names", "delim",
-        quoting_holds(F.col("p"), F.col("delim")).alias("well_quoted"),
-        F.when(F.col("parsed").isNotNull() & F.col("parsed.corrupt").isNull(), F.col("parsed.fields")).otherwise(exact_fields(F.col("p"), F.col("delim"))).alias("fields"),
-        F.col("parsed.corrupt").alias("corrupt"),
-    )
+    # a generator is a barrier to the merging of projections: what it yields is computed once a row, not at every use
+    kept = ("line_id", "file_name", "line_no", "raw", "names", "delim")
+    cut = rows.select(*kept, F.inline(F.array(F.struct(pieces(F.col("raw")).alias("p"), parsed.alias("parsed")))))
+    fields = F.when(F.col("parsed").isNotNull() & F.col("parsed.corrupt").isNull(), F.col("parsed.fields")).otherwise(exact_fields(F.col("p"), F.col("delim")))
+    return cut.select(*kept, F.inline(F.array(F.struct(quoting_holds(F.col("p"), F.col("delim")).alias("well_quoted"), fields.alias("fields"), F.col("parsed.corrupt").alias("corrupt")))))
 
 
 def field(name: str) -> Column:
