@@ -51,9 +51,16 @@ def cashtags(text: Column) -> Column:
     return F.zip_with(tag, cls, lambda t, c: F.upper(F.when(c == "", t).otherwise(F.concat(t, F.lit("."), c))))
 
 
-def bare_symbols(toks: Column) -> Column:
-    """Upper-case tokens of up to five letters: ``(symbol, near)``, near telling of a trading word within six tokens."""
-    lower = F.transform(toks, lambda t: bare(F.lower(t)))
+def bare_lower(toks: Column) -> Column:
+    """Tokens in lower case without punctuation at their edges."""
+    return F.transform(toks, lambda t: bare(F.lower(t)))
+
+
+def bare_symbols(toks: Column, lower: Column) -> Column:
+    """Upper-case tokens of up to five letters: ``(symbol, near)``, near telling of a trading word within six tokens.
+
+    ``lower`` is ``bare_lower`` of the tokens as a column of its own, so that it isn't made anew for every token.
+    """
 
     def look(t: Column, i: Column) -> Column:
         around = F.slice(lower, F.greatest(i - WINDOW, F.lit(0)) + 1, F.least(i, F.lit(WINDOW)) + WINDOW + 1)
@@ -65,10 +72,13 @@ def bare_symbols(toks: Column) -> Column:
 
 def clean_company_name(name: Column) -> Column:
     """A security's name without instrument and legal boilerplate, in lower case."""
-    low = F.lower(name)
-    for end in NAME_ENDS:
-        at = F.locate(end, low)
-        low = F.when(at > 1, F.substr(low, F.lit(1), at - 1)).otherwise(low)
-    for form in LEGAL_FORMS:
-        low = F.when(low.endswith(form), F.substr(low, F.lit(1), F.length(low) - len(form))).otherwise(low)
-    return F.btrim(low, F.lit(" .,"))
+    ends, forms = (F.array(*[F.lit(x) for x in words]) for words in (NAME_ENDS, LEGAL_FORMS))
+
+    def cut(low: Column, end: Column) -> Column:
+        at = F.position(end, low)
+        return F.when(at > 1, F.substr(low, F.lit(1), at - 1)).otherwise(low)
+
+    def drop(low: Column, form: Column) -> Column:
+        return F.when(F.endswith(low, form), F.substr(low, F.lit(1), F.length(low) - F.length(form))).otherwise(low)
+
+    return F.btrim(F.aggregate(forms, F.aggregate(ends, F.lower(name), cut), drop), F.lit(" .,"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewake.functions.text import bare, bare_symbols, cashtags, clean_company_name, tokens
+from tidewake.functions.text import bare_lower, bare_symbols, cashtags, clean_company_name, tokens
 from tidewake.session import join_small
 
 # Confidence of each way to a symbol.
@@ -108,12 +108,14 @@ def extract_mentions(docs: DataFrame, universe: DataFrame, include_etfs: bool =
     universe wants that; names if they are one rare word.
     """
     text = docs.where("text is not null and text <> ''").select("doc_id", "text")
+    # generators keep the token arrays from being made anew at every use
+    cut = text.select("doc_id", F.inline(F.array(F.struct(tokens(F.col("text")).alias("toks"))))).select("doc_id", "toks", F.inline(F.array(F.struct(bare_lower(F.col("toks")).alias("lower")))))
     dim = universe.select("symbol", "tier", "is_etf")
     admitted = F.lit(True) if include_etfs else ~F.coalesce("is_etf", F.lit(False))
     tags = join_small(text.select("doc_id", F.explode(F.array_distinct(cashtags(F.col("text")))).alias("symbol")), dim, ["symbol"]).where(admitted).select("doc_id", "symbol", F.lit("cashtag").alias("method"))
-    found = join_small(text.select("doc_id", F.explode(F.array_distinct(bare_symbols(tokens(F.col("text"))))).alias("s")).select("doc_id", "s.*"), dim, ["symbol"], "inner").where(admitted)
+    found = join_small(cut.select("doc_id", F.explode(F.array_distinct(bare_symbols(F.col("toks"), F.col("lower")))).alias("s")).select("doc_id", "s.*"), dim, ["symbol"], "inner").where(admitted)
     bares = found.where("tier = 'safe' or tier = 'context_required' and near").select("doc_id", "symbol", F.when(F.col("tier") == "safe", "bare").otherwise("context").alias("method"))
-    words = text.select("doc_id", F.explode(F.array_distinct(F.transform(tokens(F.col("text")), lambda t: bare(F.lower(t))))).alias("name")).where(F.length("name") >= SHORTEST_NAME)
+    words = cut.select("doc_id", F.explode(F.array_distinct("lower")).alias("name")).where(F.length("name") >= SHORTEST_NAME)
     names = join_small(words, name_index(universe), ["name"], "inner").where(admitted & ~F.col("name_needs_context")).select("doc_id", "symbol", F.lit("name").alias("method"))
     confidence = F.create_map(*[x for k, v in CONFIDENCE.items() for x in (F.lit(k), F.lit(v))])
     every = tags.unionByName(bares).unionByName(names).withColumn("confidence", F.element_at(confidence, F.col("method")))

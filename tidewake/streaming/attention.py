@@ -12,8 +12,12 @@ from tidewake.functions.keys import norm_key, norm_symbol
 
 
 def files(spark: SparkSession, path: str, schema: StructType, per_trigger: int = 16) -> DataFrame:
-    """A folder of Parquet files as a stream, so many files a trigger."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(path)
+    """A folder of Parquet files (or a single file) as a stream, so many files a trigger."""
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isFile():
+        return reader.option("pathGlobFilter", at.getName()).parquet(str(at.getParent()))
+    return reader.parquet(path)
 
 
 def once_each(stream: DataFrame, key: str = "id", late: str = "7 days") -> DataFrame:
