@@ -30,6 +30,12 @@ def month_windows(spark: SparkSession, start: date, end: date, months: int = 1)
     return spark.range(n).select(F.greatest(F.add_months(first, step), F.lit(start)).alias("window_start"), F.least(F.add_months(first, step + months), F.lit(end)).alias("window_end")).where("window_start < window_end")
 
 
+def _offset_in_full(t: Column) -> Column:
+    """ISO text with seconds and with minutes of its offset, as the JVM's parser wants it."""
+    t = F.regexp_replace(F.regexp_replace(t, "[Zz]$", "+00:00"), r"^(.{10}[T ]\d\d:\d\d)([+-])", "$1:00$2")
+    return F.regexp_replace(t, r"(:\d\d[+-]\d\d)$", "$1:00")
+
+
 def parse_timestamp(raw: Column) -> Column:
     """Epoch seconds of epoch seconds, epoch milliseconds or ISO-like text, null if unusable or before 2005 or after 2100.
 
@@ -42,7 +48,7 @@ def parse_timestamp(raw: Column) -> Column:
     text = F.coalesce(
         F.when(head.rlike(r"^\d{4}-\d\d?-\d\d?[ T]\d\d?:\d\d?:\d\d?$"), F.try_to_timestamp(F.regexp_replace(head, "T", " "), F.lit("yyyy-M-d H:m:s"))),
         F.when(head.rlike(r"^\d{4}-\d\d?-\d\d?$"), F.try_to_timestamp(head, F.lit("yyyy-M-d"))),
-        F.when(t.rlike(r"^\d{4}-\d\d-\d\d"), F.try_to_timestamp(F.regexp_replace(t, "[Zz]$", "+00:00"))),
+        F.when(t.rlike(r"^\d{4}-\d\d-\d\d"), F.try_to_timestamp(_offset_in_full(t))),
     )
     out = F.when(n.isNotNull(), seconds).otherwise(F.unix_seconds(text))
     return F.when(out.between(LOWEST, HIGHEST), out.cast("long"))

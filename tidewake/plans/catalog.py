@@ -120,7 +120,8 @@ def forward_return(s: SparkSession, d: str) -> DataFrame:
 
 
 def dollar_volume_bucket(s: SparkSession, d: str) -> DataFrame:
-    return bars.dollar_volume(_bars(s, d)).withColumn("dollar_volume", F.round("dollar_volume", 2))
+    """In thousands."""
+    return bars.dollar_volume(_bars(s, d)).withColumn("dollar_volume", F.round(F.col("dollar_volume") / 1000))
 
 
 def listing_flags(s: SparkSession, d: str) -> DataFrame:
