@@ -100,8 +100,8 @@ def read_permissively(lines: DataFrame) -> DataFrame:
         names = [f"f{i}" for i in range(x.width)]
         schema = ", ".join(f"{n} string" for n in names) + ", corrupt string"
         got = F.from_csv("raw", F.lit(schema), {"sep": x.delim, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "corrupt", "maxCharsPerColumn": "-1", "maxColumns": str(MOST), "inputBufferSize": "16384"})
-        # the reader takes one line; a record with line breaks goes the exact way
-        here = (F.col("delim") == x.delim) & (width == x.width) & ~F.col("raw").rlike("[\r\n]") & (F.length("raw") - F.length(F.replace("raw", F.lit(x.delim))) < MOST - 1)
+        # the reader takes one line; a record that is blank or has line breaks goes the exact way
+        here = (F.col("delim") == x.delim) & (width == x.width) & ~F.col("raw").rlike("[\r\n]") & ~blank(F.col("raw")) & (F.length("raw") - F.length(F.replace("raw", F.lit(x.delim))) < MOST - 1)
         parsed = F.when(here, F.get(F.transform(F.array(got), _tidy(names)), F.lit(0))).otherwise(parsed)
     # a generator is a barrier to the merging of projections: what it yields is computed once a row, not at every use
     kept = ("line_id", "file_name", "line_no", "raw", "names", "delim")
