@@ -7,7 +7,7 @@ in a named zone ask the zone rules.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewake.functions.keys import strip
@@ -72,71 +72,59 @@ def known_zones() -> list[str]:
 def plain_number(text: Column) -> Column:
     """Microseconds of a plain number that counts seconds, milliseconds or microseconds, whichever is in range; else null."""
     n = F.when(text.rlike(r"^\+?\d{1,20}(?:\.\d{1,9})?(?:[eE]\+?\d{1,2})?$"), text.try_cast("decimal(38,9)"))
-    out = F.lit(None).cast("long")
-    for unit in (1, 1_000, MICRO):
-        lo, hi = (F.lit(b).cast("decimal(38,9)") * unit for b in (LOWEST, HIGHEST))
-        out = F.coalesce(out, F.when((n >= lo) & (n <= hi), F.floor(n * F.lit(MICRO // unit)).cast("long")))
-    return out
+    return F.coalesce(*[F.when(n.between(LOWEST * unit, HIGHEST * unit), F.floor(n * F.lit(MICRO // unit)).cast("long")) for unit in (1, 1_000, MICRO)])
 
 
-def instant(text: Column, zone: Column, day_first: Column) -> Column:
-    """Microseconds since 1970-01-01 UTC of ``text``, null if it names no existing instant in range.
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns behind a generator, a barrier to the merging of projections: they are computed once a row, not at every use."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
+def with_instant(df: DataFrame, text: Column, zone: Column, day_first: Column, name: str) -> DataFrame:
+    """``df`` with column ``name``: microseconds since 1970-01-01 UTC of ``text``, null if it names no existing instant in range.
 
     Text without zone is wall time in ``zone``. A wall time that occurs twice is its first occurrence, one that is
     skipped is taken with the offset before the change. Missing parts of the time of day are zero.
     """
-    t = strip(text)
-    parts = F.split(F.regexp_replace(t, PATTERN, _template()), _SEP)
+    kept = df.columns
+    df = once(df, _t=strip(text), _zone=zone, _dmy=day_first)
+    df = once(df, _n=plain_number(F.col("_t")))
+    # a plain number that counts is no date, so the pattern isn't tried on it
+    df = once(df, _w=F.when(F.col("_n").isNull(), F.split(F.regexp_replace("_t", PATTERN, _template()), _SEP)))
+
+    def s(p: str) -> Column:
+        return F.nullif(F.get("_w", F.lit(_PARTS.index(p))), F.lit(""))
+
+    def i(p: str) -> Column:
+        return s(p).try_cast("int")
+
     names = F.array(*[F.lit(m) for m in MONTHS])
-    zones = known_zones()
-
-    # transform over a one-element array binds the split result once, so that it isn't repeated in every use
-    def build(w: Column) -> Column:
-        def s(p: str) -> Column:
-            return F.nullif(F.get(w, F.lit(_PARTS.index(p))), F.lit(""))
-
-        def i(p: str) -> Column:
-            return s(p).try_cast("int")
-
-        first, second = i("u"), i("v")
-        month = F.coalesce(i("o"), F.nullif(F.array_position(names, F.lower(F.substr(s("o"), F.lit(1), F.lit(3)))).cast("int"), F.lit(0)), F.when(day_first, second).otherwise(first))
-        day = F.coalesce(i("d"), F.when(day_first, first).otherwise(second))
-        half = F.lower(s("p"))
-        hour = F.coalesce(i("h"), F.lit(0))
-        hour_ok = F.when(half.isNull(), hour.between(0, 23)).otherwise(hour.between(1, 12))
-        hour = F.when(half.isNull(), hour).otherwise(hour % 12 + F.when(half == "p", 12).otherwise(0))
-        return F.struct(
-            i("y").alias("y"), month.alias("m"), day.alias("d"), hour_ok.alias("ok"),
-            (hour * 3600 + F.coalesce(i("n"), F.lit(0)) * 60 + F.coalesce(i("s"), F.lit(0))).cast("long").alias("tod"),
-            (F.coalesce(i("n"), F.lit(0)) <= 59).alias("okn"), (F.coalesce(i("s"), F.lit(0)) <= 59).alias("oks"),
-            F.coalesce(F.substr(F.rpad(s("f"), 6, "0"), F.lit(1), F.lit(6)).cast("int"), F.lit(0)).alias("us"),
-            F.coalesce(s("z"), s("b")).alias("z"),
-        )
-
-    def assemble(c: Column) -> Column:
-        y, m, d, z = (c.getField(x) for x in ("y", "m", "d", "z"))
-        ok = F.call_function("coalesce", c.getField("ok") & c.getField("okn") & c.getField("oks"), F.lit(False))
-        leap = (y % 4 == 0) & ((y % 100 != 0) | (y % 400 == 0))
-        dim = F.when(m == 2, F.when(leap, 29).otherwise(28)).when(m.isin(4, 6, 9, 11), 30).otherwise(31)
-        real = ok & m.between(1, 12) & (d >= 1) & (d <= dim) & y.between(1, 9999)
-        yy = (y - F.when(m <= 2, 1).otherwise(0)).cast("long")
-        yoe = yy % 400
-        days = F.floor(yy / 400) * 146097 + yoe * 365 + F.floor(yoe / 4) - F.floor(yoe / 100) + F.floor((153 * (m + F.when(m > 2, -3).otherwise(9)) + 2) / 5) + d - 1 - 719468
-        local = (days.cast("long") * 86_400 + c.getField("tod")) * MICRO + c.getField("us")
-        digits = F.regexp_replace(z, ":", "")
-        sign = F.when(z.startswith("-"), -1).otherwise(1)
-        # +h, +hh, +hmm, +hhmm
-        hours = F.when(F.length(digits) <= 3, F.substr(digits, F.lit(2))).otherwise(F.substr(digits, F.lit(2), F.length(digits) - 3)).try_cast("int")
-        minutes = F.when(F.length(digits) <= 3, 0).otherwise(F.substr(digits, F.length(digits) - 1).try_cast("int"))
-        offset = F.when((hours <= 18) & (minutes <= 59), sign * (hours * 60 + minutes))
-        table = F.create_map(*[x for k, v in ABBREVIATIONS.items() for x in (F.lit(k), F.lit(v))])
-        abbreviation = F.try_element_at(table, F.upper(z))
-        named = F.when(z.isNull(), zone).when(z.contains("/"), z)
-        wall = F.when(named.isin(zones) | (named == "UTC"), F.unix_micros(F.to_utc_timestamp(F.timestamp_micros(local), named)))
-        at = F.when(z.rlike(r"^[+-]"), local - offset.cast("long") * 60 * MICRO).when(z.isNotNull() & ~z.contains("/"), local - abbreviation.cast("long") * 60 * MICRO).otherwise(wall)
-        return F.when(real, at)
-
-    bound = F.when(F.size(parts) == len(_PARTS), F.array(parts))
-    spelled = F.get(F.transform(F.transform(bound, build), assemble), F.lit(0))
-    spelled = F.when(spelled.between(LOWEST * MICRO, HIGHEST * MICRO), spelled)
-    return F.coalesce(plain_number(t), spelled)
+    df = once(
+        df, _y=i("y"), _m=F.coalesce(i("o"), F.nullif(F.array_position(names, F.lower(F.substr(s("o"), F.lit(1), F.lit(3)))).cast("int"), F.lit(0)), F.when(F.col("_dmy"), i("v")).when(~F.col("_dmy"), i("u"))),
+        _d=F.coalesce(i("d"), F.when(F.col("_dmy"), i("u")).when(~F.col("_dmy"), i("v"))), _h=F.coalesce(i("h"), F.lit(0)), _mi=F.coalesce(i("n"), F.lit(0)), _s=F.coalesce(i("s"), F.lit(0)),
+        _us=F.coalesce(F.substr(F.rpad(s("f"), 6, "0"), F.lit(1), F.lit(6)).cast("int"), F.lit(0)), _half=F.lower(s("p")), _z=F.coalesce(s("z"), s("b")),
+    )
+    y, m, d, h, half, z = (F.col(c) for c in ("_y", "_m", "_d", "_h", "_half", "_z"))
+    leap = (y % 4 == 0) & ((y % 100 != 0) | (y % 400 == 0))
+    days_in = F.when(m == 2, F.when(leap, 29).otherwise(28)).when(m.isin(4, 6, 9, 11), 30).otherwise(31)
+    clock = F.when(half.isNull(), h.between(0, 23)).otherwise(h.between(1, 12)) & (F.col("_mi") <= 59) & (F.col("_s") <= 59)
+    real = clock & m.between(1, 12) & (d >= 1) & (d <= days_in) & y.between(1, 9999)
+    # days since 1970-01-01 by years that begin in March, in integers
+    yy = (y - F.when(m <= 2, 1).otherwise(0)).cast("long")
+    yoe = yy % 400
+    days = F.floor(yy / 400) * 146097 + yoe * 365 + F.floor(yoe / 4) - F.floor(yoe / 100) + F.floor((153 * (m + F.when(m > 2, -3).otherwise(9)) + 2) / 5) + d - 1 - 719468
+    hour = F.when(half.isNull(), h).otherwise(h % 12 + F.when(half == "p", 12).otherwise(0))
+    df = once(df, _local=F.when(real, (days.cast("long") * 86_400 + hour * 3600 + F.col("_mi") * 60 + F.col("_s")) * MICRO + F.col("_us")))
+    digits = F.regexp_replace(z, ":", "")
+    # +h, +hh, +hmm, +hhmm
+    hours = F.when(F.length(digits) <= 3, F.substr(digits, F.lit(2))).otherwise(F.substr(digits, F.lit(2), F.length(digits) - 3)).try_cast("int")
+    minutes = F.when(F.length(digits) <= 3, 0).otherwise(F.substr(digits, F.length(digits) - 1).try_cast("int"))
+    offset = F.when((hours <= 18) & (minutes <= 59), F.when(z.startswith("-"), -1).otherwise(1) * (hours * 60 + minutes))
+    table = F.create_map(*[x for k, v in ABBREVIATIONS.items() for x in (F.lit(k), F.lit(v))])
+    fixed = F.when(z.rlike("^[+-]"), offset).when(~F.contains(z, F.lit("/")), F.try_element_at(table, F.upper(z)))
+    df = once(df, _named=F.when(z.isNull(), F.col("_zone")).when(F.contains(z, F.lit("/")), z), _fixed=F.when(z.isNotNull(), fixed))
+    known = F.col("_named").isin(known_zones()) | F.col("_named").isin("UTC", "GMT")
+    wall = F.when(known, F.unix_micros(F.to_utc_timestamp(F.timestamp_micros("_local"), F.col("_named"))))
+    df = once(df, _at=F.when(F.col("_named").isNull(), F.col("_local") - F.col("_fixed").cast("long") * 60 * MICRO).otherwise(wall))
+    spelled = F.when(F.col("_at").between(LOWEST * MICRO, HIGHEST * MICRO), F.col("_at"))
+    return df.select(*kept, F.coalesce("_n", spelled).alias(name))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewake.functions.instants import instant
+from tidewake.functions import instants
 from tidewake.session import join_small
 
 
@@ -17,7 +17,8 @@ def with_instant(bulk: DataFrame, feeds: DataFrame, column: str = "created_utc")
     """``row_id, created_us`` (null where unreadable) of every row. Scans just the three columns it needs."""
     rows = bulk.select("row_id", "feed", F.col(column).alias("text"))
     dim = feeds.select("feed", "zone", "day_first").dropDuplicates(["feed"])
-    return join_small(rows, dim, ["feed"]).select("row_id", instant(F.col("text"), F.col("zone"), F.col("day_first")).alias("created_us"))
+    at = instants.with_instant(join_small(rows, dim, ["feed"]), F.col("text"), F.col("zone"), F.col("day_first"), "created_us")
+    return at.select("row_id", "created_us")
 
 
 def readable(bulk: DataFrame, feeds: DataFrame, column: str = "created_utc") -> DataFrame:
