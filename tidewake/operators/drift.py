@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from tidewake.functions.instants import plain_number
 from tidewake.functions.keys import strip
+from tidewake.session import materialise
 
 #: Min-hash functions of a profile; the least score of a renamed pair.
 HASHES, LEAST = 24, 0.5
@@ -167,8 +168,11 @@ def lay_beside(head: DataFrame) -> DataFrame:
 
 
 def changes(lines: DataFrame) -> DataFrame:
-    """Every change of a file against the preceding one: ``feed, file_seq, file_name, change, old_field, new_field``."""
-    beside = lay_beside(headers(lines))
+    """Every change of a file against the preceding one: ``feed, file_seq, file_name, change, old_field, new_field``.
+
+    Headers are kept once found (a few hundred bytes per file and name), so that records are read and parsed once.
+    """
+    beside = materialise(lay_beside(materialise(headers(lines))))
     pairs = renames(beside)
     where = ["feed", "file_seq", "file_name"]
     # each renamed pair laid over its two names, so that both sides are known by one aggregation
@@ -201,7 +205,7 @@ def _lineage(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def lineage(lines: DataFrame) -> DataFrame:
     """``feed, file_seq, file_name, field, name``: what a field that first went by ``field`` is called in a file."""
-    head = headers(lines)
+    head = materialise(headers(lines))
     where = ["feed", "file_seq", "file_name"]
     log = head.select(*where, "name").join(renames(lay_beside(head)).withColumnRenamed("new", "name"), [*where, "name"], "left")
     return log.groupBy("feed").applyInPandas(_lineage, "feed string, file_seq int, file_name string, field string, name string")
