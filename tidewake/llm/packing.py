@@ -99,7 +99,8 @@ def _assigner(starts: np.ndarray, offsets: np.ndarray, runs: np.ndarray) -> Call
 
 def pack(documents: DataFrame, path: str = TOKENIZER, capacity: int = CAPACITY) -> DataFrame:
     """``doc_id, piece, n_tokens, container, start``: where each document (or part) lies, start being its first token's place."""
-    sized = pieces(token_counts(documents, path), capacity)
+    # a range sort samples its input before it reads it: texts are tokenised once, their sizes read twice
+    sized = pieces(materialise(token_counts(documents, path)), capacity)
     # sorted once and kept, so that places don't change between the two passes over it
     kept = materialise(sized.repartitionByRange("size", "doc_id", "piece").sortWithinPartitions("size", "doc_id", "piece").withColumn("place", F.monotonically_increasing_id()))
     # sizes and sorted parts only: at most ``capacity`` rows more than there are partitions
