@@ -232,8 +232,10 @@ def garbled_tokens(documents: DataFrame) -> DataFrame:
     counted = materialise(counted)
     words = vocabulary(counted)
     cand = spread(counted.select("token"), "token").mapInPandas(_candidates(known), "token string, form string, kind string, lost array<string>, won array<string>")
+    # only a number goes with each key; the texts stay behind
+    cand = materialise(cand.withColumn("c", F.xxhash64("token", "form")))
     side = F.explode(F.concat(F.transform("lost", lambda k: F.struct(k.alias("key"), F.lit(False).alias("won"))), F.transform("won", lambda k: F.struct(k.alias("key"), F.lit(True).alias("won")))))
-    looked = cand.select("token", "form", "kind", side.alias("x")).select("token", "form", "kind", "x.*").join(words, "key", "left")
+    looked = cand.select("c", side.alias("x")).select("c", "x.*").join(words, "key", "left")
     n, tag = F.coalesce("n", F.lit(0)), F.substr("key", F.lit(1), F.lit(1))
 
     def level(side: Column, t: Column) -> Column:
@@ -242,7 +244,7 @@ def garbled_tokens(documents: DataFrame) -> DataFrame:
     def share(t: Column, least: int) -> Column:
         return F.coalesce(F.avg(F.when(F.col("won") & t, (n >= least).cast("double"))), F.lit(0.0))
 
-    scored = looked.groupBy("token", "form", "kind").agg(
+    scored = looked.groupBy("c").agg(
         (level(F.col("won"), tag == "w") - level(~F.col("won"), tag == "w")).alias("words"), share(tag == "w", 3).alias("known"),
         (level(F.col("won"), tag == "r") - level(~F.col("won"), tag == "r")).alias("runs"), share(tag == "r", 3).alias("known_runs"),
         (level(F.col("won"), tag == "m") - level(~F.col("won"), tag == "m")).alias("masks"), share(tag == "m", 3).alias("known_masks"),
@@ -253,7 +255,7 @@ def garbled_tokens(documents: DataFrame) -> DataFrame:
     home_runs = (F.col("known_runs") >= 0.75) & (F.col("runs") >= F.log(F.lit(RATIO)))
     strong = (F.col("kind") == "utf-8") & (F.col("lost") | (F.col("letters") == 1) & (F.col("n_letters") >= 2))
     shape = (F.col("known_masks") == 1) & (F.col("masks") >= F.log(F.lit(RATIO)))
-    good = scored.where(F.when(F.col("kind") == "single", F.when(F.col("token").rlike("[A-Za-z]"), home).otherwise(home & shape)).otherwise(home) | (F.col("kind") != "single") & home_runs | strong).withColumn("score", F.col("words") + F.col("known") + F.col("letters"))
+    good = scored.join(cand.select("c", "token", "form", "kind"), "c").where(F.when(F.col("kind") == "single", F.when(F.col("token").rlike("[A-Za-z]"), home).otherwise(home & shape)).otherwise(home) | (F.col("kind") != "single") & home_runs | strong).withColumn("score", F.col("words") + F.col("known") + F.col("letters"))
     return good.groupBy("token").agg(F.max_by("form", F.struct("score", "form")).alias("form"))
 
 
