@@ -68,7 +68,7 @@ SQL: dict[str, str] = {
     "p2_report": f"with {_REFS} select target, ref_field, state, strftime(to_timestamp(created_utc) at time zone 'UTC', '%Y-%m') as period, count(*) as n_orphans from orphans group by all",
     "p4_distinct": f"with {_SEEN} select source, level, day, symbol, subreddit, max(n_distinct) as n_distinct, cast(0 as double) as error_bound from counted where whole group by all",
     "p6_found": f"with {_KEYED} select row_id from ranked where k is not null and n > 1",
-    "p6_unique": f"with {_KEYED} select * exclude (k, n) from ranked where k is null or n = 1",
+    "p6_unique": f"with {_KEYED} select * exclude (k, n, received_at), epoch_us(received_at) as received_at from ranked where k is null or n = 1",
     "p7_found": f"with {_KNOWN} select mention_id, bar_id from known",
     "p7_attributes": f"with {_KNOWN} select a.mention_id, a.symbol, a.created_utc, k.bar_id, b.volume, b.first_trade_date from asked a left join known k using (mention_id) left join bars b on b.bar_id = k.bar_id",
 }

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidewake.operators import badrows, distinct, drift, orphans, pointintime, redelivery, timestamps
 from tidewake.session import table as t
@@ -65,7 +66,8 @@ def p6_found(s: SparkSession, d: str) -> DataFrame:
 
 
 def p6_unique(s: SparkSession, d: str) -> DataFrame:
-    return redelivery.unique_messages(t(s, d, "comments"))
+    """All columns; the time of receipt as microseconds."""
+    return redelivery.unique_messages(t(s, d, "comments")).withColumn("received_at", F.unix_micros("received_at"))
 
 
 def p7_found(s: SparkSession, d: str) -> DataFrame:
