@@ -27,7 +27,7 @@ from tidewake.functions.keys import strip
 from tidewake.session import materialise
 
 #: Min-hash functions of a profile; the least score of a renamed pair.
-HASHES, LEAST = 24, 0.5
+HASHES, LEAST = 32, 0.5
 CLASSES = ("time", "num", "bool", "struct", "word", "text")
 
 #: Promotion lattice: the least type that holds both. A type is below ``string``; whatever else meets is kept as JSON.
@@ -92,14 +92,14 @@ def headers(lines: DataFrame) -> DataFrame:
     profile = F.struct(
         F.count(c).alias("n"), F.avg(F.length(c)).alias("length"), share("0123456789").alias("digits"), share("_-").alias("joints"),
         F.array(*[F.count_if(F.col("class") == k) for k in CLASSES]).alias("classes"), F.sqrt(F.avg(x * x)).alias("size"),
-        F.array(*[F.min(F.when(c.isNotNull(), F.xxhash64(F.lit(i), c))) for i in range(HASHES)]).alias("mins"),
+        F.array(*[F.min(F.when(c.isNotNull(), F.hash(F.lit(i), c))) for i in range(HASHES)]).alias("mins"),
     )
     return values(lines).groupBy("feed", "file_seq", "file_name", "name").agg(F.array_sort(F.collect_set("type")).alias("types"), profile.alias("profile"))
 
 
 def distinct(mins: list[int]) -> float:
     """Distinct values behind a min-hash: the least of d uniform hashes lies at 1 / (d + 1) on average."""
-    mean = sum(int(m) / 2**64 + 0.5 for m in mins) / len(mins)
+    mean = sum(int(m) / 2**32 + 0.5 for m in mins) / len(mins)
     return 1 / max(mean, 1e-18) - 1
 
 
@@ -121,13 +121,13 @@ def alike(a: dict[str, Any], b: dict[str, Any]) -> float:
         return 0.8 - 0.2 * off
     various = [distinct(p["mins"]) / p["n"] for p in (a, b)]
     off = abs(math.log(max(a["length"], 1) / max(b["length"], 1)))
-    if shared >= 0.2:
+    if shared >= 0.18:
         return 0.65 + 0.35 * shared - 0.05 * min(off, 2)
     if kind == "text":
-        return 0.75 - 0.1 * off if min(various) > 0.5 and min(a["length"], b["length"]) >= 20 else 0.0
+        return 0.75 - 0.1 * off if min(various) > 0.4 and min(a["length"], b["length"]) >= 20 else 0.0
     # words that are all different: only their shape can go on
     slack = 1 / math.sqrt(min(a["n"], b["n"]))
-    if min(various) > 0.5 and off < 0.3 and abs(a["digits"] - b["digits"]) < 0.1 + 0.4 * slack and abs(a["joints"] - b["joints"]) < 0.04 + 0.1 * slack:
+    if min(various) > 0.4 and off < 0.3 and abs(a["digits"] - b["digits"]) < 0.1 + 0.4 * slack and abs(a["joints"] - b["joints"]) < 0.04 + 0.1 * slack:
         return 0.6 - 0.3 * off
     return 0.0
 
