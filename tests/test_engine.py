@@ -329,3 +329,22 @@ def test_streaming_attention(spark, tmp_path):
     q = attention.to_sink(attention.once_each(attention.files(spark, str(tmp_path / "m"), spark.read.parquet(str(tmp_path / "m")).schema)), lambda b, i: ids.extend(r.id for r in b.collect()), str(tmp_path / "state2"))
     q.awaitTermination()
     assert len(ids) == 2
+
+
+def test_pacing():
+    from tidewake.sources.pacing import Pace, run
+
+    slept, done = [], []
+
+    def work(u):
+        if u % 6:
+            raise RuntimeError
+        return 2
+
+    r = run(range(1, 25), work, lambda u, n: done.append(u), sleep=slept.append)
+    assert (r["succeeded"], r["failed"], r["records"], done, r["success_rate"]) == (4, 20, 8, [6, 12, 18, 24], 4 / 24) and max(slept) <= 60
+    assert run(range(100), lambda u: 1 / 0, sleep=slept.append)["stopped"] == "the source refuses everything" and slept.count(900.0) == 4
+    p = Pace()
+    assert [p.note(True) for _ in range(50)] == [0.0] * 50 and p.seconds == 1.5
+    assert run([1], lambda u: 1, budget=0.0, sleep=slept.append)["stopped"] == "budget spent"
+    assert run([], lambda u: 1)["success_rate"] == 0.0

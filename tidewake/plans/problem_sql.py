@@ -72,3 +72,40 @@ SQL: dict[str, str] = {
     "p7_found": f"with {_KNOWN} select mention_id, bar_id from known",
     "p7_attributes": f"with {_KNOWN} select a.mention_id, a.symbol, a.created_utc, k.bar_id, b.volume, b.first_trade_date from asked a left join known k using (mention_id) left join bars b on b.bar_id = k.bar_id",
 }
+
+
+def _csv() -> str:
+    """CTEs ``csv(line_id, file_name, names, fields, reason)`` of every row after the header."""
+    delims = {",": ",", ";": ";", "|": "\\|", "\t": "\\t"}
+
+    def field(d: str) -> str:
+        return f'(?:"(?:[^"]|"")*"|[^"{d}]*)'
+
+    def by_delim(make) -> str:  # noqa: ANN001
+        return "case delim " + " ".join(f"when '{d}' then {make(e)}" for d, e in delims.items()) + " end"
+
+    well = by_delim(lambda e: f"regexp_full_match(raw, '{field(e)}(?:{e}{field(e)})*')")
+    cut = by_delim(lambda e: f"regexp_extract_all(raw || delim, '({field(e)}){e}', 1)")
+    best = "case greatest(" + ", ".join(f"length(head) - length(replace(head, '{d}', ''))" for d in delims) + ") " + " ".join(f"when length(head) - length(replace(head, '{d}', '')) then '{d}'" for d in delims) + " end"
+    white = "[\\s\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{1c}-\\x{1f}]"
+
+    def trim(c: str) -> str:
+        return f"regexp_replace({c}, '^{white}+|{white}+$', '', 'g')"
+
+    return f"""
+heads as (select file_name, arg_min(raw, line_id) as head from csv_lines where line_no = 1 group by file_name),
+delimited as (select file_name, head, {best} as delim from heads),
+lay as (select file_name, delim, list_transform(string_split(head, delim), lambda n: lower(trim(trim(n), '"'))) as names from delimited),
+cut as (select line_id, file_name, names, raw, {well} as well, {cut} as parts from csv_lines join lay using (file_name) where line_no > 1),
+clean as (select line_id, file_name, names, well, list_transform(parts, lambda f: case when f like '"%' then replace(substr(f, 2, length(f) - 2), '""', '"') else f end) as fields from cut),
+seen as (select *, {trim("fields[list_position(names, 'created_utc')]")} as c, {trim("fields[list_position(names, 'body')]")} as b from clean),
+csv as (
+  select line_id, file_name, names, fields, case when not well then 'quoting' when len(fields) <> len(names) then 'columns'
+    when not coalesce(case when regexp_full_match(c, '\\d{{1,18}}') then cast(c as bigint) between 1104537600 and 4102444800 or cast(c as bigint) between 1104537600000 and 4102444800000
+      when regexp_full_match(c, '\\d{{4}}-\\d\\d-\\d\\d(?:[ T]\\d\\d:\\d\\d:\\d\\dZ?)?') then epoch(try_cast(replace(rtrim(c, 'Z'), 'T', ' ') as timestamp)) between 1104537600 and 4102444800 end, false) then 'created_utc'
+    when coalesce(b, '') = '' then 'body' end as reason from seen)
+"""
+
+
+SQL["p5_found"] = f"with {_csv()} select line_id, reason from csv where reason is not null"
+SQL["p5_valid"] = f"with {_csv()} select line_id, file_name, " + ", ".join(f"fields[list_position(names, '{f}')] as {f}" for f in ("id", "created_utc", "body", "author", "score", "subreddit")) + " from csv where reason is null"
