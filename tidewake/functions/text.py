@@ -13,7 +13,6 @@ from tidewake.schemas import WITHDRAWN
 #: ``$`` and one to five letters, perhaps a class after a dot, ending at a word's end.
 CASHTAG = r"(?U)\$([A-Za-z]{1,5})(?:\.([A-Za-z]))?\b"
 EDGES = ".,!?:;()[]\"'"
-_SPACE = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in WHITE) + "]+"
 
 # Words whose presence near a symbol makes it one.
 CONTEXT_TERMS = """
@@ -37,7 +36,8 @@ def is_withdrawn(*texts: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Text cut at white space in the Unicode sense."""
-    return F.filter(F.split(text, _SPACE), lambda t: t != "")
+    # one character to split at keeps the regular expressions out of it
+    return F.filter(F.split(F.translate(text, WHITE, " " * len(WHITE)), " "), lambda t: t != "")
 
 
 def bare(token: Column) -> Column:

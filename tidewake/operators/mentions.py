@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewake.functions.text import bare_lower, bare_symbols, cashtags, clean_company_name, tokens
-from tidewake.session import join_small
+from tidewake.session import join_small, spread
 
 # Confidence of each way to a symbol.
 CONFIDENCE = {"cashtag": 0.95, "bare": 0.85, "name": 0.8, "context": 0.6}
@@ -107,7 +107,7 @@ def extract_mentions(docs: DataFrame, universe: DataFrame, include_etfs: bool =
     Cashtags count inside and outside the universe; upper-case tokens if they are safe, or near trading words if the
     universe wants that; names if they are one rare word.
     """
-    text = docs.where("text is not null and text <> ''").select("doc_id", "text")
+    text = spread(docs.where("text is not null and text <> ''").select("doc_id", "text"), "doc_id")
     # generators keep the token arrays from being made anew at every use
     cut = text.select("doc_id", F.inline(F.array(F.struct(tokens(F.col("text")).alias("toks"))))).select("doc_id", "toks", F.inline(F.array(F.struct(bare_lower(F.col("toks")).alias("lower")))))
     dim = universe.select("symbol", "tier", "is_etf")
