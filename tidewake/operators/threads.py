@@ -66,9 +66,14 @@ def coverage_report(threads: DataFrame, daily: tuple[str, ...] = DAILY) -> DataF
     """One row: months covered, upper median of threads a month, suspicious and missing months, threads of all types."""
     c = coverage(threads, daily)
     have = F.array_sort(F.collect_list(F.when(F.col("n") > 0, F.col("n"))))
-    one = c.agg(F.count_if(F.col("n") > 0).alias("months"), have.alias("h"), F.array_sort(F.collect_list(F.when(F.col("status") == "suspicious", F.col("month")))).alias("suspicious"), F.array_sort(F.collect_list(F.when(F.col("status") == "missing", F.col("month")))).alias("missing"))
-    total = threads.agg(F.count(F.lit(1)).alias("total_threads"))
-    return one.crossJoin(total).select("months", F.get("h", F.floor(F.size("h") / 2).cast("int")).alias("median_per_month"), F.array_join("suspicious", ",").alias("suspicious"), F.array_join("missing", ",").alias("missing"), "total_threads")
+    # the count of all threads goes along as one more row
+    total = threads.agg(F.count(F.lit(1)).alias("total"))
+    both = c.unionByName(total, allowMissingColumns=True)
+    one = both.agg(
+        F.count_if(F.col("n") > 0).alias("months"), have.alias("h"), F.array_sort(F.collect_list(F.when(F.col("status") == "suspicious", F.col("month")))).alias("suspicious"),
+        F.array_sort(F.collect_list(F.when(F.col("status") == "missing", F.col("month")))).alias("missing"), F.max("total").alias("total_threads"),
+    )
+    return one.select("months", F.get("h", F.floor(F.size("h") / 2).cast("int")).alias("median_per_month"), F.array_join("suspicious", ",").alias("suspicious"), F.array_join("missing", ",").alias("missing"), "total_threads")
 
 
 def cap_per_thread(comments: DataFrame, cap: int, by: str = "link_id", order: tuple[str, ...] = ("created_utc", "row_id")) -> DataFrame:

@@ -23,14 +23,13 @@ from tidewake.sources.pages import paginate
 
 def post_units(spark: SparkSession, subreddits: list[str], start: date, end: date) -> DataFrame:
     """``unit_key, subreddit, day``: one unit per subreddit and day in [start, end)."""
-    subs = spark.createDataFrame([(s,) for s in subreddits], "subreddit string")
-    return day_range(spark, start, end).crossJoin(F.broadcast(subs)).select(F.concat_ws(":", F.lit("posts"), "subreddit", "day").alias("unit_key"), "subreddit", "day")  # a calendar by a short list given by hand
+    names = F.explode(F.array(*[F.lit(s) for s in subreddits]).cast("array<string>"))
+    return day_range(spark, start, end).select("day", names.alias("subreddit")).select(F.concat_ws(":", F.lit("posts"), "subreddit", "day").alias("unit_key"), "subreddit", "day")
 
 
 def discovery_units(spark: SparkSession, authors: list[str], start: date, end: date, months: int = 12) -> DataFrame:
     """``author, window_start, window_end`` to search for threads."""
-    who = spark.createDataFrame([(a,) for a in authors], "author string")
-    return month_windows(spark, start, end, months).crossJoin(F.broadcast(who))
+    return month_windows(spark, start, end, months).withColumn("author", F.explode(F.array(*[F.lit(a) for a in authors]).cast("array<string>")))
 
 
 def store_posts(pages: DataFrame, manifest: Manifest, root: str, subreddit: str, unit_key: str) -> int:

@@ -109,3 +109,49 @@ csv as (
 
 SQL["p5_found"] = f"with {_csv()} select line_id, reason from csv where reason is not null"
 SQL["p5_valid"] = f"with {_csv()} select line_id, file_name, " + ", ".join(f"fields[list_position(names, '{f}')] as {f}" for f in ("id", "created_utc", "body", "author", "score", "subreddit")) + " from csv where reason is null"
+
+
+def _instants() -> str:
+    """CTEs ending in ``at(row_id, us)``: each row's text cut into a zone and a clock, the clock read by a list of forms.
+
+    A wall time is tried with the offsets in force a day before and a day after it, in this order, which gives the
+    first of two occurrences; one that neither gives back was skipped, and keeps the offset before.
+    """
+    from tidewake.functions.instants import ABBREVIATIONS, HIGHEST, LOWEST
+
+    offsets = " ".join(f"when '{k}' then {v}" for k, v in ABBREVIATIONS.items())
+    clock = ["%Y-%m-%d %H:%M:%S.%f", "%Y-%m-%d %H:%M:%S", "%Y-%m-%d %H:%M", "%Y-%m-%d", "%Y%m%d %H%M%S", "%Y%m%d%H%M%S", "%Y%m%d", "%d %b %Y %H:%M:%S", "%b %d %H:%M:%S %Y", "%B %d, %Y %I:%M %p", "%b %d, %Y %I:%M %p"]
+    day_first, month_first = ["%d/%m/%Y %H:%M", "%d/%m/%Y %H:%M:%S", "%d.%m.%Y %H:%M:%S", "%d.%m.%Y %H:%M"], ["%m/%d/%Y %I:%M:%S %p", "%m/%d/%Y %H:%M"]
+
+    def forms(fs: list[str]) -> str:
+        return "[" + ", ".join(f"'{f}'" for f in fs) + "]"
+
+    unit = " ".join(f"when n between {LOWEST * u} and {HIGHEST * u} then cast(floor(n * {1_000_000 // u}) as bigint)" for u in (1, 1000, 1_000_000))
+    zone = "'(Z|[+-]\\d\\d(?::?\\d\\d)?|[A-Z]{3,4}|[A-Z][A-Za-z]+/[A-Za-z_]+)\\]?$'"
+    return f"""
+texts as (select row_id, f.zone, f.day_first, trim(created_utc, ' \t\r\n') as t from bulk_comments b left join feeds f on f.feed = b.feed),
+numbers as (select *, case when regexp_full_match(t, '\\d+(\\.\\d+)?(E\\d+)?') then coalesce(try_cast(t as decimal(38, 9)), try_cast(try_cast(t as double) as decimal(38, 9))) end as n from texts),
+counted as (select *, case {unit} end as counted from numbers),
+bared as (
+  select *, regexp_replace(regexp_replace(regexp_replace(t, '^(Mon|Tue|Wed|Thu|Fri|Sat|Sun),? ', ''), '^(.*:\\d\\d) ([A-Z]{{3,4}}) (\\d{{4}})$', '\\1 \\3 \\2'), '(\\d)[tT](\\d.*?)z?$', '\\1 \\2' || case when t like '%z' then 'Z' else '' end) as c
+  from counted where counted is null),
+zoned as (select *, case when regexp_matches(c, ':\\d\\d(\\.\\d+)? ?[+-]\\d\\d(:?\\d\\d)?$') or regexp_matches(c, '(\\dZ|[ \\[](UTC|GMT|[A-Z]{{2,4}}T)\\]?| \\d{{4}} UTC|[A-Za-z]+/[A-Za-z_]+\\]?)$') and not regexp_matches(c, ' (AM|PM)$') then regexp_extract(c, {zone}, 1) else '' end as z from bared),
+parts as (select *, trim(case when z = '' then c else rtrim(left(c, length(c) - length(z) - case when c like '%]' then 2 else 0 end)) end) as w from zoned),
+walls as (
+  select *, case when regexp_matches(w, '^\\d{{1,2}}[/.]\\d') then case when day_first then try_strptime(w, {forms(day_first)}) else try_strptime(w, {forms(month_first)}) end else try_strptime(w, {forms(clock)}) end as wall,
+    case when z = '' then zone when z like '%/%' then z end as tz,
+    case when z ~ '[+-].*' then (case when z like '-%' then -1 else 1 end) * (cast(substr(z, 2, 2) as integer) * 60 + case when length(z) > 3 then cast(right(z, 2) as integer) else 0 end)
+      else case z {offsets} end end as mins from parts),
+offs as (
+  select *, epoch_us(wall) as l,
+    epoch_us(timezone(tz, timezone('UTC', wall - interval 1 day))) - epoch_us(wall - interval 1 day) as o1,
+    epoch_us(timezone(tz, timezone('UTC', wall + interval 1 day))) - epoch_us(wall + interval 1 day) as o2 from walls where wall is not null),
+at as (
+  select row_id, case when tz is null then l - cast(mins as bigint) * 60000000
+    when epoch_us(timezone(tz, timezone('UTC', make_timestamp(l - o1)))) = l then l - o1
+    when epoch_us(timezone(tz, timezone('UTC', make_timestamp(l - o2)))) = l then l - o2 else l - o1 end as us from offs),
+every as (select row_id, counted as us from counted where counted is not null union all select row_id, us from at where us between {LOWEST * 1_000_000} and {HIGHEST * 1_000_000})
+"""
+
+
+SQL["p3_found"] = f"with {_instants().replace('at as (', 'instants as (').replace('from at where', 'from instants where')} select row_id, cast(us as bigint) as created_us from every"
