@@ -21,6 +21,7 @@ length is read whole; extra columns are ignored.
 from __future__ import annotations
 
 import re
+import string
 from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -86,7 +87,9 @@ def _confuse(text: str, written: str, read: str) -> str | None:
 
 def passages(documents: DataFrame) -> DataFrame:
     """Distinct passages with non-ASCII characters, numbers masked: ``rest`` (their ASCII remainder), ``passage``, ``n``."""
-    cut = F.filter(F.split(F.lower("text"), r"\n+|(?<=[.!?]) +"), lambda p: p.rlike(r"[^\x00-\x7f]"))
+    # the case of other letters is kept: a confusion of encodings may well turn it
+    low = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    cut = F.filter(F.split(low, r"\n+|(?<=[.!?]) +"), lambda p: p.rlike(r"[^\x00-\x7f]"))
     masked = F.regexp_replace("p", NUMBER, "0")
     p = documents.where("text is not null").select(F.explode(F.array_distinct(cut)).alias("p")).select(masked.alias("passage"))
     return p.groupBy("passage").agg(F.count(F.lit(1)).alias("n")).withColumn("rest", F.regexp_replace("passage", r"[^\x00-\x7f]+", "")).where(F.length("rest") >= 6)
