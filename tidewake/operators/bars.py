@@ -84,6 +84,11 @@ def newly_listed(day: Column, first: Column, days: int = NEW_DAYS) -> Column:
     return F.coalesce(F.datediff(day, first).between(0, days), F.lit(False))
 
 
+def cache_key(symbol: Column) -> Column:
+    """A symbol as a file name."""
+    return F.replace(symbol, F.lit("/"), F.lit("_"))
+
+
 def is_penny(price: Column, below: float = PENNY) -> Column:
     """Null where there is no bar."""
     return price < below
