@@ -126,8 +126,8 @@ def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def lessons(documents: DataFrame) -> DataFrame:
     """``by, n``: how many distinct pairs of aligned runs each set of confusions explains."""
     found = passages(documents)
-    common = found.groupBy("rest").agg(F.max(F.struct("n", "passage")).alias("top"), F.count(F.lit(1)).alias("variants")).where("variants > 1").select("rest", F.col("top.passage").alias("clean"), F.col("top.n").alias("most"))
-    pairs = found.join(common, "rest").where("passage <> clean and n <= most").select("passage", "clean")
+    common = found.groupBy("rest").agg(F.max(F.struct("n", "passage")).alias("top"), F.count(F.lit(1)).alias("variants")).where("variants > 1").select("rest", F.col("top.passage").alias("clean"))
+    pairs = found.join(common, "rest").where("passage <> clean").select("passage", "clean")
     return pairs.mapInPandas(align, "by string, garbled string, clean string").distinct().groupBy("by").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -189,7 +189,6 @@ def _undoings(token: str, known: tuple[tuple[str, str], ...]) -> dict[str, str]:
     for _ in range(DEPTH):
         nxt: dict[str, str] = {}
         for t, kind in level.items():
-            forms = [t]
             for read, written in by_read.items():
                 data = encode(t, read)
                 # what the encoding lacks stays as it is: only the runs it has are undone
@@ -201,7 +200,7 @@ def _undoings(token: str, known: tuple[tuple[str, str], ...]) -> dict[str, str]:
                         if w not in MULTI:
                             continue
                         got = "".join((d if x is not None and (d := decode(x, w)) is not None else p) for p, x in parts)
-                    if got is None or got in forms or got == token or any(c < " " for c in got):
+                    if got is None or got in (t, token) or any(c < " " for c in got):
                         continue
                     if w in SINGLE and not telling(t):
                         continue
