@@ -314,6 +314,26 @@ def test_crawl_plans(spark, tmp_path):
     assert crawl.store_posts(posts, book, str(tmp_path), "s", "u") == 1 and crawl.store_posts(posts, book, str(tmp_path), "s", "u") == 0
 
 
+def test_command_line(spark, tmp_path, capsys):
+    d = str(tmp_path / "d")
+    assert crawl.main(["comments", "--data-dir", d, "--pages", d]) == 2
+    pages_ = tmp_path / "t.json"
+    pages_.write_text("\n".join(json.dumps({"id": i, "title": "Daily Discussion Thread", "created_utc": t, "subreddit": "s", "score": 1}) for i, t in (("a", 1_704_067_200), ("b", 1_704_153_600))))
+    assert crawl.main(["discover", "--data-dir", d, "--pages", str(pages_)]) == 0
+    pages_.write_text(json.dumps({"id": "a", "title": "Daily Discussion Thread", "created_utc": 1_704_067_200, "score": 9}) + "\n" + json.dumps({"id": "c", "title": "Daily Discussion Thread", "created_utc": 1_704_240_000}))
+    assert crawl.main(["discover", "--data-dir", d, "--pages", str(pages_)]) == 0
+    assert {r.id: r.score for r in spark.read.schema(SCHEMA).json(f"{d}/threads").collect()} == {"a": 9, "b": 1, "c": None}
+    comments = tmp_path / "c.json"
+    comments.write_text("\n".join(json.dumps({"id": f"k{i}", "created_utc": 1_704_067_200 + i, "body": "x" if i else "[removed]", "link_id": "t3_a"}) for i in range(5)))
+    assert crawl.main(["comments", "--data-dir", d, "--pages", str(comments), "--max-comments", "3"]) == 0
+    assert archive.read(spark, f"{d}/raw", "comments", COMMENT_TAGGED).count() == 2
+    src = tmp_path / "b.csv"
+    src.write_text("id,created_utc,body\na,1704067200,x\n")
+    assert crawl.main(["load", "--data-dir", d, "--pages", str(src)]) == 0 and spark.read.json(f"{d}/reports").head().written == 1
+    assert crawl.main(["posts", "--data-dir", d, "--subreddits", "a", "--start", "2024-01-01", "--end", "2024-01-03", "--limit-units", "1"]) == 0
+    assert crawl.main(["threads", "--data-dir", d]) == 0
+
+
 def test_streaming_attention(spark, tmp_path):
     from tidewake.streaming import attention
 

@@ -9,13 +9,14 @@ import argparse
 import sys
 from datetime import date
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewake.functions.calendars import day_range, month_windows
 from tidewake.operators import retention, threads
 from tidewake.schemas import COMMENT, POST, THREAD
-from tidewake.session import build_session
+from tidewake.session import build_session, materialise
 from tidewake.sources import archive, bulk
 from tidewake.sources.manifest import Manifest, pending
 from tidewake.sources.pages import paginate
@@ -48,6 +49,17 @@ def discover_threads(pages: DataFrame, titles: tuple[tuple[str, str], ...] = thr
     return threads.ranked_first(found, ["id"], F.desc("created_utc")).select(*[c for c in THREAD.fieldNames() if c in found.columns]).orderBy("created_utc", "id")
 
 
+def add_threads(spark: SparkSession, found: DataFrame, path: str) -> DataFrame:
+    """Merge threads into the stored list (what is found replaces what has the same id), one per day and type."""
+    try:
+        found = threads.merge_last(spark.read.schema(THREAD).json(path), found)
+    except AnalysisException:  # no list yet
+        pass
+    kept = materialise(threads.dedupe_threads(found))  # the list can't be read and replaced at once
+    kept.write.mode("overwrite").json(path)
+    return kept
+
+
 def comments_of_threads(comments: DataFrame, which: DataFrame, cap: int | None = None) -> DataFrame:
     """All threads' comments in one pass: their thread's tags, withdrawn ones left out, the earliest ``cap`` of each kept."""
     tags = which.select(F.concat(F.lit("t3_"), "id").alias("link_id"), F.col("id").alias("_thread_id"), F.col("thread_type").alias("_thread_type"), F.col("subreddit").alias("_subreddit"))
@@ -80,8 +92,7 @@ def main(argv: list[str] | None = None) -> int:
         todo = pending(post_units(spark, a.subreddits, a.start, a.end), book.completed()).orderBy("unit_key")
         (todo.limit(a.limit_units) if a.limit_units else todo).show(truncate=False)
     elif a.stage == "discover":
-        found = threads.dedupe_threads(discover_threads(spark.read.schema(THREAD).json(a.pages)))
-        found.write.mode("overwrite").json(f"{a.data_dir}/threads")
+        found = add_threads(spark, discover_threads(spark.read.schema(THREAD).json(a.pages)), f"{a.data_dir}/threads")
         threads.coverage_report(found).show(truncate=False)
     elif a.stage == "threads":
         threads.count_by_type(threads.from_posts(archive.read(spark, root, "posts/*", POST))).show(truncate=False)
@@ -95,7 +106,9 @@ def main(argv: list[str] | None = None) -> int:
         n = archive.append(comments_of_threads(spark.read.schema(COMMENT).json(a.pages).withColumn("row_id", F.monotonically_increasing_id()), which, a.max_comments), root, "comments")
         print(f"{n} comments stored")
     else:
-        bulk.ingest_csv(spark, a.pages, root, a.source).show(truncate=False)
+        report = materialise(bulk.ingest_csv(spark, a.pages, root, a.source).withColumn("source", F.lit(a.source)))
+        report.coalesce(1).write.mode("append").json(f"{a.data_dir}/reports")
+        report.show(truncate=False)
     book.issues(10).show(truncate=False)
     book.summary().show(truncate=False)
     return 0
