@@ -64,6 +64,23 @@ def test_drift_records_follow_renames_and_promote_types(spark):
     assert drift.promote(["integer", "number"]) == "number" and drift.promote(["array", "string"]) == "json" and drift.promote([]) is None
 
 
+def test_drift_records_hold_every_field_in_its_union_type(spark):
+    a = [{"id": f"k{i:05x}", "author": people(i), "depth": i, "edited": i % 2 == 0, "ratio": 1, "awards": [i, {"n": i}], "flag": i} for i in range(6)]
+    b = [{"id": f"k{i:05x}q", "author": people(i), "depth": i, "edited": 17 + i, "ratio": 2.5, "awards": None, "flag": {"on": "x", "by": "y"}, "Depth": "other case", "it's $.odd": "q"} for i in range(5)] + [{"id": "big", "author": people(7), "depth": 10**20, "ratio": 9007199254740993}]
+    lines = archive(spark, [a, b, ["not json", None]])
+    table = drift.records(lines)
+    out = {r.id: r.asDict() for r in table.collect()}
+    types = dict(table.dtypes)
+    assert {k: types[k] for k in ("id", "author", "depth", "edited", "ratio", "awards", "flag")} == {"id": "string", "author": "string", "depth": "bigint", "edited": "bigint", "ratio": "double", "awards": "string", "flag": "string"}
+    assert table.count() == lines.count()
+    assert [out["k00002"][k] for k in ("depth", "edited", "ratio", "flag", "uncast")] == [2, 1, 1.0, "2", None] and json.loads(out["k00002"]["awards"]) == [2, {"n": 2}]
+    q = out["k00003q"]
+    assert [q[k] for k in ("edited", "ratio", "awards", "flag", "it's $.odd")] == [20, 2.5, None, "y x", "q"] and json.loads(q["uncast"]) == {"flag": {"on": "x", "by": "y"}}
+    assert (q["depth"], q["Depth_2"]) == (3, "other case")
+    assert out["big"]["depth"] is None and json.loads(out["big"]["uncast"]) == {"depth": 10**20, "ratio": 9007199254740993}
+    assert drift.records(archive(spark, [])).count() == 0
+
+
 # --- orphans
 
 

@@ -210,18 +210,19 @@ def _lineage(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["feed", "file_seq", "file_name", "field", "name"])
 
 
-def lineage(lines: DataFrame) -> DataFrame:
+def lineage(lines: DataFrame, head: DataFrame | None = None) -> DataFrame:
     """``feed, file_seq, file_name, field, name``: what a field that first went by ``field`` is called in a file."""
-    head = materialise(headers(lines))
+    head = materialise(headers(lines)) if head is None else head
     where = ["feed", "file_seq", "file_name"]
     log = head.select(*where, "name").join(renames(lay_beside(head)).withColumnRenamed("new", "name"), [*where, "name"], "left")
     return log.groupBy("feed").applyInPandas(_lineage, "feed string, file_seq int, file_name string, field string, name string")
 
 
-def union_schema(lines: DataFrame) -> DataFrame:
+def union_schema(lines: DataFrame, head: DataFrame | None = None, names: DataFrame | None = None) -> DataFrame:
     """Per field the types met, the union type they are promoted to, and in how many files the field occurs."""
     where = ["feed", "file_seq", "file_name"]
-    per = headers(lines).select(*where, "name", "types").join(lineage(lines), [*where, "name"])
+    head = materialise(headers(lines)) if head is None else head
+    per = head.select(*where, "name", "types").join(lineage(lines, head) if names is None else names, [*where, "name"])
     folded = per.groupBy("field").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("types")))).alias("types"), F.count(F.lit(1)).alias("n_files"))
     union = F.aggregate(
         "types", F.lit(None).cast("string"),
@@ -230,19 +231,68 @@ def union_schema(lines: DataFrame) -> DataFrame:
     return folded.select("field", F.array_join("types", ",").alias("types"), union.alias("union_type"), "n_files")
 
 
-def records(lines: DataFrame, fields: tuple[str, ...] = ("id", "created_utc", "author", "body", "score", "subreddit")) -> DataFrame:
-    """All records in one consistent table: each field under its first name, as text, ``created_utc`` in epoch seconds."""
-    where = ["feed", "file_seq", "file_name"]
-    names = lineage(lines).groupBy(*where).agg(F.map_from_entries(F.collect_list(F.struct("field", "name"))).alias("names"))
-    doc = lines.select("line_id", *where, F.try_parse_json("payload").alias("v")).join(names, where, "left")
+def columns_of(fields: list[str], taken: tuple[str, ...]) -> dict[str, str]:
+    """Field -> column: its name, numbered where it differs only in case from an earlier column."""
+    used, out = set(taken), {}
+    for f in fields:
+        n, name = 1, f
+        while name.lower() in used:
+            n += 1
+            name = f"{f}_{n}"
+        used.add(name.lower())
+        out[f] = name
+    return out
 
-    def value(f: str) -> Column:
-        v = F.try_variant_get("v", F.concat(F.lit("$['"), F.try_element_at("names", F.lit(f)), F.lit("']")), "variant")
-        return leaves(v, F.schema_of_variant(v))
 
-    out = doc.select("line_id", "feed", "file_name", *[value(f).alias(f) for f in fields])
-    if "created_utc" in fields:
-        text = F.col("created_utc")
-        iso = F.try_to_timestamp(F.regexp_replace(text, "Z$", "+00:00"))
-        out = out.withColumn("created_utc", F.coalesce(F.floor(plain_number(text) / 1_000_000), F.unix_seconds(iso)))
-    return out
+def records(lines: DataFrame) -> DataFrame:
+    """All records in one consistent table: every field of the union schema under its first name, cast to its union type.
+
+    ``integer`` is a bigint, ``number`` a double, ``boolean`` a boolean, ``string`` text; ``created_utc`` is in epoch
+    seconds. Arrays and objects are JSON text; where a field holds scalars in other files, text of their values.
+    ``uncast`` holds, as one JSON object by field, each value its column does not hold in full. The driver sees one row
+    per field.
+    """
+    where = ["feed", "file_seq", "file_name"]
+    head = materialise(headers(lines))
+    log = materialise(lineage(lines, head))
+    # fields of most files first: they keep their names
+    met = sorted(union_schema(lines, head, log).collect(), key=lambda r: (-r["n_files"], r["field"]))
+    union = {r["field"]: (r["union_type"], set(r["types"].split(","))) for r in met}
+    called = columns_of(list(union), ("line_id", "feed", "file_name", "uncast"))
+    names = log.groupBy(*where).agg(F.map_from_entries(F.collect_list(F.struct("field", "name"))).alias("names"))
+    # the outer join keeps lines without a record
+    doc = lines.select("line_id", *where, F.try_parse_json("payload").alias("v")).join(names, where, "left")
+    parts = doc.select("line_id", "feed", "file_name", "names", F.try_variant_get("v", "$", "map<string,variant>").alias("parts"))
+    fields = list(union)
+    found = parts.select("line_id", "feed", "file_name", *[F.try_element_at("parts", F.try_element_at("names", F.lit(f))).alias(f"v{i}") for i, f in enumerate(fields)])
+    cells, left = [], []
+    for i, f in enumerate(fields):
+        (to, types), v = union[f], F.col(f"v{i}")
+        t = F.schema_of_variant(v)
+        nested = t.startswith("ARRAY") | t.startswith("OBJECT")
+        text = F.when(t != "VOID", F.try_variant_get(v, "$", "string"))
+        if f == "created_utc":
+            plain = leaves(v, t)
+            iso = F.try_to_timestamp(F.regexp_replace(plain, "Z$", "+00:00"))
+            cell = F.coalesce(F.floor(plain_number(plain) / 1_000_000), F.unix_seconds(iso))
+            whole = cell.isNotNull() & ~nested
+        elif to == "integer":
+            cell = F.when(t == "BOOLEAN", F.try_variant_get(v, "$", "boolean").cast("bigint")).otherwise(F.try_variant_get(v, "$", "bigint"))
+            whole = cell.isNotNull()
+        elif to == "number":
+            cell = F.when(t == "BOOLEAN", F.try_variant_get(v, "$", "boolean").cast("double")).otherwise(F.try_variant_get(v, "$", "double"))
+            # a double holds 15 digits
+            whole = cell.isNotNull() & (F.length(F.regexp_replace(text, r"[eE].*$|[^0-9]", "")) <= 15)
+        elif to == "boolean":
+            cell = F.try_variant_get(v, "$", "boolean")
+            whole = cell.isNotNull()
+        elif to == "json" and types - {"array", "object"}:
+            cell, whole = F.when(nested, leaves(v, t)).otherwise(text), ~nested
+        else:
+            cell, whole = text, F.lit(True)
+        cells.append(cell.alias(called[f]))
+        left.append(F.when((t != "VOID") & ~F.coalesce(whole, F.lit(False)), F.struct(F.lit(f).alias("key"), v.alias("value"))))
+    if not fields:
+        return found.withColumn("uncast", F.lit(None).cast("string"))
+    uncast = F.filter(F.array(*left), lambda x: x.isNotNull())
+    return found.select("line_id", "feed", "file_name", *cells, F.when(F.size(uncast) > 0, F.to_json(F.map_from_entries(uncast))).alias("uncast"))
