@@ -146,6 +146,21 @@ def test_garbled_documents_and_only_those(spark):
     assert back[300_000].text == CLEAN[0] and back[300_001].whole and not back[400_000].whole
 
 
+def test_copies_of_a_garbled_text_are_not_at_home(spark):
+    where = "harbour bakery museum station library market bridge tower garden school theatre cinema".split()
+    clean = [(i, f"We met at the café near the {w} today") for i, w in enumerate(where)]
+    bad = [(1000 + i, "Nobody likes the cafÃ© down there") for i in range(60)]
+    docs = spark.createDataFrame(clean + bad, "doc_id long, text string")
+    assert {x.doc_id for x in garbled.garbled_documents(docs).collect()} == {b[0] for b in bad}
+    assert {x.text for x in garbled.restored(docs).collect()} == {"Nobody likes the café down there"}
+
+
+def test_copies_of_a_garbled_passage_are_no_clean_twin(spark):
+    twins = [(10 * i + k, garbled._confuse(t, "cp1252", "mac_roman") if k else t) for i, t in enumerate(CLEAN[:4]) for k in range(6)]
+    votes = [(x.by, x.n) for x in garbled.lessons(spark.createDataFrame(twins, "doc_id long, text string")).collect()]
+    assert ("cp1252", "mac_roman") in garbled.learn(votes)
+
+
 def test_garbled_on_empty_and_clean_tables(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert garbled.garbled_documents(empty).count() == 0 and garbled.restored(empty).count() == 0

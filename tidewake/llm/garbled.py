@@ -1,7 +1,7 @@
 """Text decoded with the wrong character encoding (problem 10): found, and restored where it still can be.
 
 1. Twins. Passages are joined on their text without non-ASCII characters (case and numbers set aside): each variant
-   with the most frequent variant of the same remainder, never variants among each other.
+   with the variant of the same remainder that most distinct texts hold, never variants among each other.
 2. Alignment. The ASCII remainder anchors the non-ASCII runs of both twins; a pair of runs votes for every confusion
    of encodings (written in one, read in another) that turns the one into the other. Confusions that explain most
    are learned greedily. Confusions of two single-byte encodings, which any text would survive, are used only if
@@ -85,8 +85,13 @@ def _confuse(text: str, written: str, read: str) -> str | None:
 # --- twins ---------------------------------------------------------------------------------------------------------
 
 
+def texts(documents: DataFrame) -> DataFrame:
+    """``text``: each text with non-ASCII characters once, so that copies make nothing at home in the corpus."""
+    return documents.where(F.col("text").rlike(r"[^\x00-\x7f]")).select("text").distinct()
+
+
 def passages(documents: DataFrame) -> DataFrame:
-    """Distinct passages with non-ASCII characters, numbers masked: ``rest`` (their ASCII remainder), ``passage``, ``n``."""
+    """Distinct passages with non-ASCII characters, numbers masked: ``rest`` (their ASCII remainder), ``passage``, ``n`` (rows of ``documents`` that hold them)."""
     # the case of other letters is kept: a confusion of encodings may well turn it
     low = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
     cut = F.filter(F.split(low, r"\n+|(?<=[.!?]) +"), lambda p: p.rlike(r"[^\x00-\x7f]"))
@@ -115,19 +120,21 @@ def explained(garbled: str, clean: str) -> str:
 def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         out = set()
-        for variant, clean in zip(pdf["passage"], pdf["clean"]):
+        for variant, clean, even in zip(pdf["passage"], pdf["clean"], pdf["even"]):
             a, b = runs_by_anchor(variant), runs_by_anchor(clean)
             for at in a.keys() & b.keys():
-                if a[at] != b[at] and (by := explained(a[at], b[at])):
-                    out.add((by, a[at], b[at]))
+                # of two as frequent either may be the clean one
+                for x, y in [(a[at], b[at]), (b[at], a[at])][: 1 + even]:
+                    if x != y and (by := explained(x, y)):
+                        out.add((by, x, y))
         yield pd.DataFrame(sorted(out), columns=["by", "garbled", "clean"])
 
 
-def lessons(documents: DataFrame) -> DataFrame:
-    """``by, n``: how many distinct pairs of aligned runs each set of confusions explains."""
-    found = passages(documents)
-    common = found.groupBy("rest").agg(F.max(F.struct("n", "passage")).alias("top"), F.count(F.lit(1)).alias("variants")).where("variants > 1").select("rest", F.col("top.passage").alias("clean"))
-    pairs = found.join(common, "rest").where("passage <> clean").select("passage", "clean")
+def lessons(documents: DataFrame, once: bool = False) -> DataFrame:
+    """``by, n``: how many distinct pairs of aligned runs each set of confusions explains. ``once``: no text is there twice."""
+    found = passages(documents if once else texts(documents))
+    common = found.groupBy("rest").agg(F.max(F.struct("n", "passage")).alias("top"), F.count(F.lit(1)).alias("variants")).where("variants > 1").select("rest", F.col("top.passage").alias("clean"), F.col("top.n").alias("most"))
+    pairs = found.join(common, "rest").where("passage <> clean").select("passage", "clean", (F.col("n") == F.col("most")).alias("even"))
     return pairs.mapInPandas(align, "by string, garbled string, clean string").distinct().groupBy("by").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -169,7 +176,7 @@ def telling(token: str) -> bool:
 
 
 def vocabulary(counted: DataFrame) -> DataFrame:
-    """``key, n``: in how many documents (by token) each word, run and character occurs."""
+    """``key, n``: in how many distinct texts (by token) each word, run and character occurs."""
     t = F.lower("token")
 
     def tagged(tag: str, parts: Column) -> Column:
@@ -229,8 +236,9 @@ def _candidates(known: tuple[tuple[str, str], ...]) -> Callable[[Iterator[pd.Dat
 
 def garbled_tokens(documents: DataFrame) -> DataFrame:
     """``token, form``: every garbled token with what it was (the best undoing)."""
-    known = tuple(sorted({c for c in CONFUSIONS if c[0] in MULTI} | set(learn([(x.by, x.n) for x in lessons(documents).collect()]))))
-    counted = tokens(documents).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    documents = materialise(texts(documents))
+    known = tuple(sorted({c for c in CONFUSIONS if c[0] in MULTI} | set(learn([(x.by, x.n) for x in lessons(documents, once=True).collect()]))))
+    counted = tokens(documents.withColumn("doc_id", F.lit(0))).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     counted = materialise(counted)
     words = vocabulary(counted)
     cand = spread(counted.select("token"), "token").mapInPandas(_candidates(known), "token string, form string, kind string, lost array<string>, won array<string>")
