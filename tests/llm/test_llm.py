@@ -161,6 +161,25 @@ def test_copies_of_a_garbled_passage_are_no_clean_twin(spark):
     assert ("cp1252", "mac_roman") in garbled.learn(votes)
 
 
+def test_rare_words_of_a_garbled_passage_are_restored():
+    clean = "Señor Peñaranda también vendió en Düsseldorf"
+    bad = garbled._confuse(clean, "cp1252", "mac_roman")
+    learned = (("cp1252", "mac_roman"),)
+    back = {garbled._confuse("también", *learned[0]): "también"}
+    assert garbled.restore_passage(bad, back, set(), learned) == (clean, True)
+    # what is at home as it is stays, and is owned up to; other passages are left alone
+    assert garbled.restore_passage(bad + " naïve", back, {"naïve"}, learned) == (clean + " naïve", False)
+    assert garbled.restore_passage("naïve", back, set(), learned) == ("naïve", True)
+
+
+def test_restored_undoes_rare_words(spark):
+    where = "harbour bakery museum station library market bridge tower".split()
+    clean = [(i, f"Tom waits at the café near the {w}") for i, w in enumerate(where)]
+    bad = (1000, garbled._confuse("The café of Zoë Müsliń is shut".replace("ń", "n"), "utf-8", "mac_roman"))
+    got = garbled.restored(spark.createDataFrame([*clean, bad], "doc_id long, text string")).collect()
+    assert [tuple(x) for x in got] == [(1000, "The café of Zoë Müslin is shut", True)]
+
+
 def test_garbled_on_empty_and_clean_tables(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert garbled.garbled_documents(empty).count() == 0 and garbled.restored(empty).count() == 0

@@ -236,8 +236,14 @@ def _candidates(known: tuple[tuple[str, str], ...]) -> Callable[[Iterator[pd.Dat
 
 def garbled_tokens(documents: DataFrame) -> DataFrame:
     """``token, form``: every garbled token with what it was (the best undoing)."""
+    return _judged(documents)[0]
+
+
+def _judged(documents: DataFrame) -> tuple[DataFrame, DataFrame, list[tuple[str, str]]]:
+    """Garbled tokens with their forms; all tokens with the number of distinct texts they are in; the confusions learned."""
     documents = materialise(texts(documents))
-    known = tuple(sorted({c for c in CONFUSIONS if c[0] in MULTI} | set(learn([(x.by, x.n) for x in lessons(documents, once=True).collect()]))))
+    learned = learn([(x.by, x.n) for x in lessons(documents, once=True).collect()])
+    known = tuple(sorted({c for c in CONFUSIONS if c[0] in MULTI} | set(learned)))
     counted = tokens(documents.withColumn("doc_id", F.lit(0))).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     counted = materialise(counted)
     words = vocabulary(counted)
@@ -266,7 +272,7 @@ def garbled_tokens(documents: DataFrame) -> DataFrame:
     strong = (F.col("kind") == "utf-8") & (F.col("lost") | (F.col("letters") == 1) & (F.col("n_letters") >= 2))
     shape = (F.col("known_masks") == 1) & (F.col("masks") >= F.log(F.lit(RATIO)))
     good = scored.join(cand.select("c", "token", "form", "kind"), "c").where(F.when(F.col("kind") == "single", F.when(F.col("token").rlike("[A-Za-z]"), home).otherwise(home & shape)).otherwise(home) | (F.col("kind") != "single") & home_runs | strong).withColumn("score", F.col("words") + F.col("known") + F.col("letters"))
-    return good.groupBy("token").agg(F.max_by("form", F.struct("score", "form")).alias("form"))
+    return good.groupBy("token").agg(F.max_by("form", F.struct("score", "form")).alias("form")), counted, learned
 
 
 def garbled_documents(documents: DataFrame) -> DataFrame:
@@ -275,18 +281,86 @@ def garbled_documents(documents: DataFrame) -> DataFrame:
     return tokens(documents).join(garbled_tokens(documents).select("token"), "token").select("doc_id").unionByName(lost).distinct()
 
 
-def _restore(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        texts = []
-        for text, forms in zip(pdf["text"], pdf["forms"]):
-            back = {x["token"]: x["form"] for x in forms} if forms is not None else {}
-            texts.append(re.sub(r"[^ \t\r\n\f]+", lambda m, back=back: back.get(m[0], m[0]), text))
-        yield pd.DataFrame({"doc_id": pdf["doc_id"], "text": texts, "whole": [LOST not in t for t in texts]})
+Way = tuple[tuple[str, str], ...]
+
+
+@lru_cache(100_000)
+def ways(token: str, form: str, learned: tuple[tuple[str, str], ...]) -> frozenset[Way]:
+    """The shortest ways from a token to its form: confusions undone one after the other."""
+    usable = [c for c in CONFUSIONS if c[0] in MULTI or c in learned]
+    level: dict[str, list[Way]] = {token: [()]}
+    for _ in range(DEPTH):
+        nxt: dict[str, list[Way]] = {}
+        for t, before in level.items():
+            for c in usable:
+                if (got := undo(t, *c)) is not None:
+                    nxt.setdefault(got, []).extend((*w, c) for w in before)
+        if form in nxt:
+            return frozenset(nxt[form])
+        level = {t: [w for w in ws if w[-1][0] == "utf-8"] for t, ws in nxt.items() if not t.isascii()}
+        level = {t: ws for t, ws in level.items() if ws}
+    return frozenset()
+
+
+def follow(token: str, way: Way) -> str | None:
+    """A token after all undoings of a way (itself, where they change nothing); null if it can't have come that way."""
+    for written, read in way:
+        data = encode(token, read)
+        if data is None or (got := decode(data, written)) is None:
+            return None
+        token = got
+    return None if any(c < " " for c in token) else token
+
+
+def restore_passage(passage: str, back: dict[str, str], often: set[str], learned: tuple[tuple[str, str], ...]) -> tuple[str, bool]:
+    """A passage undone, and whether no token of it is left. The confusion is the one that most accepted tokens went by.
+
+    Where ways that are as likely disagree, and where a single-byte confusion meets a token that is at home in the
+    corpus as it is (``often``), the token is left.
+    """
+    here = [t for t in re.findall(r"[^ \t\r\n\f]+", passage) if not t.isascii()]
+    hits = [t for t in set(here) if t in back]
+    if not hits:
+        return passage, LOST not in passage
+    tally = Counter(w for t in hits for w in ways(t, back[t], learned))
+    best = [w for w, n in tally.items() if n == max(tally.values())]
+    best = [w for w in best if all(c in learned for c in w)] or best
+    whole, new = True, {}
+    for t in set(here):
+        if t in back:
+            new[t] = back[t]
+            continue
+        got = {x for w in best if not (t in often and any(c[0] in SINGLE for c in w)) and (x := follow(t, w)) is not None}
+        if len(got) == 1:
+            new[t] = got.pop()
+        else:
+            whole = False
+    out = re.sub(r"[^ \t\r\n\f]+", lambda m: new.get(m[0], m[0]), passage)
+    return out, whole and LOST not in out
+
+
+def _restore(learned: tuple[tuple[str, str], ...]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for doc_id, text, forms in zip(pdf["doc_id"], pdf["text"], pdf["forms"]):
+                forms = [] if forms is None else forms
+                back = {x["token"]: x["form"] for x in forms if x["form"] is not None}
+                often = {x["token"] for x in forms if x["n"] >= 3}
+                parts = [restore_passage(p, back, often, learned) for p in re.split(r"(\n+|(?<=[.!?]) +)", text)]
+                out.append((doc_id, "".join(p for p, _ in parts), all(w for _, w in parts)))
+            yield pd.DataFrame(out, columns=["doc_id", "text", "whole"])
+
+    return run
 
 
 def restored(documents: DataFrame) -> DataFrame:
-    """``doc_id, text, whole`` of the garbled documents: their text as far as it could be recovered, and whether nothing is lost."""
-    back = garbled_tokens(documents)
-    forms = tokens(documents).join(back, "token").groupBy("doc_id").agg(F.collect_list(F.struct("token", "form")).alias("forms"))
+    """``doc_id, text, whole`` of the garbled documents: their text as far as it could be recovered, and whether nothing is lost.
+
+    The confusion of a passage's garbled tokens is undone in its other tokens too, however rare; ``whole`` is false
+    where a token of such a passage could not be.
+    """
+    back, counted, learned = _judged(documents)
+    forms = tokens(documents).join(counted.join(back, "token", "left"), "token").groupBy("doc_id").agg(F.collect_list(F.struct("token", "form", "n")).alias("forms")).where(F.exists("forms", lambda x: x["form"].isNotNull()))
     hit = documents.select("doc_id", "text").join(forms, "doc_id", "left").where(F.col("forms").isNotNull() | F.contains("text", F.lit(LOST)))
-    return hit.mapInPandas(_restore, "doc_id long, text string, whole boolean")
+    return hit.mapInPandas(_restore(tuple(learned)), "doc_id long, text string, whole boolean")
