@@ -368,3 +368,12 @@ def test_pacing():
     assert [p.note(True) for _ in range(50)] == [0.0] * 50 and p.seconds == 1.5
     assert run([1], lambda u: 1, budget=0.0, sleep=slept.append)["stopped"] == "budget spent"
     assert run([], lambda u: 1)["success_rate"] == 0.0
+
+
+def test_every_comment_of_a_thread_however_its_key_is_spelled(spark, tmp_path):
+    from tidewake.plans import catalog
+
+    c = [(i, "t3_th", i, "words", "a") for i in range(60)] + [(100, " T3_TH ", None, "words", "a"), (101, "th", 5, "words", "a"), (102, "t1_th", 5, "words", "a"), (103, "t3_th", 5, "[removed]", "a"), (104, None, 5, "words", "a")]
+    spark.createDataFrame(c, "row_id long, link_id string, created_utc long, body string, author string").write.parquet(f"{tmp_path}/comments.parquet")
+    spark.createDataFrame([("th", "daily_discussion", "s")], "id string, thread_type string, subreddit string").write.parquet(f"{tmp_path}/threads.parquet")
+    assert sorted(r.row_id for r in catalog.QUERIES["thread_comments_all"](spark, str(tmp_path)).collect()) == [*range(60), 100, 101]

@@ -315,7 +315,12 @@ def truncated_threads(s: SparkSession, d: str) -> DataFrame:
 
 
 def thread_comments(s: SparkSession, d: str) -> DataFrame:
-    return crawl.comments_of_threads(t(s, d, "comments").where("created_utc is not null"), t(s, d, "threads"), 50).select("row_id", "_thread_id", "_thread_type")
+    """The earliest 50 of each thread, keys as spelled, as the SQL has it; ``thread_comments_all`` has all of them."""
+    return crawl.comments_of_threads(t(s, d, "comments").where("created_utc is not null"), t(s, d, "threads"), 50, as_spelled=True).select("row_id", "_thread_id", "_thread_type")
+
+
+def thread_comments_all(s: SparkSession, d: str) -> DataFrame:
+    return crawl.comments_of_threads(t(s, d, "comments"), t(s, d, "threads")).select("row_id", "_thread_id", "_thread_type")
 
 
 def crawl_stats(s: SparkSession, d: str) -> DataFrame:
@@ -387,7 +392,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         latest_bars, bar_returns, window_returns, forward_return, dollar_volume_bucket, listing_flags, price_status, price_status_report, chart_bars, symbol_event_stack, mention_zscores,
         universe, cashtag_mentions, unknown_cashtags, mentions_best_route, high_confidence_mentions, corpus_stopwords, symbol_tiers, clean_names,
         project_comments, withdrawn_filter, retention_report, live_only, compare_sources, collection_stats, archive_months, archive_roundtrip, manifest_latest, manifest_summary, pending_units,
-        thread_classify, thread_types, thread_dedupe, thread_merge, threads_from_posts, thread_coverage, thread_coverage_report, cap_per_group, truncated_threads, thread_comments, crawl_stats, month_windows, day_spine,
+        thread_classify, thread_types, thread_dedupe, thread_merge, threads_from_posts, thread_coverage, thread_coverage_report, cap_per_group, truncated_threads, thread_comments, thread_comments_all, crawl_stats, month_windows, day_spine,
         parse_timestamp, normalise_rows, ingest_outcome, ingest_report, dedupe_first, paginate, crowded_seconds, stream_daily_authors,
     )
 }
