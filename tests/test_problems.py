@@ -289,3 +289,16 @@ def test_attributes_match_brute_force(spark, rows, bucket):
         if ok:
             want[m] = max(ok)[2]
     assert dict(rows(pointintime.as_known(mentions, prices, bucket))) == want
+
+
+def test_registered_partials_and_pairs_make_up_the_counts(spark, data, rows):
+    from tidewake.plans import problems
+
+    by = ["day", "symbol", "subreddit"]
+    cols = ["source", "level", *by, "n_distinct"]
+    want = rows(problems.p4_distinct(spark, data).where("n_distinct > 0").select(cols))
+    assert rows(distinct.merge_partials(problems.p4_partials(spark, data), by).select(cols)) == want
+    pairs = problems.p4_pairs(spark, data)
+    # an author that two batches hold is counted once
+    halves = [pairs.where("pmod(hash(author, level), 3) < 2"), pairs.where("pmod(hash(author, level), 3) > 0")]
+    assert rows(distinct.merge_partials(distinct.count_groups(distinct.merge_groups(*halves), by), by).select(cols)) == want

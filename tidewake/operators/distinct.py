@@ -2,8 +2,8 @@
 
 Identifiers fall into disjoint hash ranges. Within a range, identifier-group pairs are deduplicated and counted
 exactly, for every combination of the grouping columns; as ranges are disjoint, the counts of a group's ranges add
-up. The error bound is therefore 0, and the counts per range are partial results: those of other days, files or
-machines are merged by a union of distinct pairs, those of disjoint ranges by a sum.
+up. The error bound is therefore 0. Counts per range are partial results of disjoint ranges, merged by a sum; the
+pairs themselves are those of other days, files or machines, merged by a union of distinct pairs (``merge_groups``).
 
 Rows are deduplicated on the map side before the first shuffle, so an identifier with a third of all rows weighs no
 more than its distinct groups. No set of identifiers is ever held in one place.
@@ -34,8 +34,8 @@ def sightings(df: DataFrame, source: str) -> DataFrame:
     )
 
 
-def partial_counts(pairs: DataFrame, by: list[str], ident: str = "author", fixed: tuple[str, ...] = ("source",), ranges: int = RANGES) -> DataFrame:
-    """Exact distinct counts per hash range and group, for every non-empty combination of ``by``.
+def identifier_groups(pairs: DataFrame, by: list[str], ident: str = "author", fixed: tuple[str, ...] = ("source",), ranges: int = RANGES) -> DataFrame:
+    """Each identifier once per group, with its hash range, for every non-empty combination of ``by``.
 
     ``level`` names the combination; columns outside it are null.
     """
@@ -54,11 +54,28 @@ def partial_counts(pairs: DataFrame, by: list[str], ident: str = "author", fixed
     # one shuffle on (range, identifier): every later deduplication of that identifier is local to its partition
     spread = fine.select(*fixed, "range", ident, *by).repartition("range", ident)
     cell = spread.select(*fixed, "range", ident, F.explode(cells).alias("cell")).where("cell is not null").select(*fixed, "range", ident, "cell.*")
-    return cell.distinct().groupBy(*fixed, "level", *by, "range").agg(F.count(F.lit(1)).alias("n"))
+    return cell.distinct()
+
+
+def count_groups(groups: DataFrame, by: list[str], fixed: tuple[str, ...] = ("source",)) -> DataFrame:
+    """Distinct identifiers per hash range and group of identifier-group pairs that are there once."""
+    return groups.groupBy(*fixed, "level", *by, "range").agg(F.count(F.lit(1)).alias("n"))
+
+
+def partial_counts(pairs: DataFrame, by: list[str], ident: str = "author", fixed: tuple[str, ...] = ("source",), ranges: int = RANGES) -> DataFrame:
+    """Exact distinct counts per hash range and group, for every non-empty combination of ``by``."""
+    return count_groups(identifier_groups(pairs, by, ident, fixed, ranges), by, fixed)
+
+
+def merge_groups(groups: DataFrame, *others: DataFrame) -> DataFrame:
+    """Identifier-group pairs of several days, files or machines, cut by the same ranges: each once, whoever else holds it."""
+    for o in others:
+        groups = groups.unionByName(o)
+    return groups.distinct()
 
 
 def merge_partials(partials: DataFrame, by: list[str], fixed: tuple[str, ...] = ("source",)) -> DataFrame:
-    """Counts of disjoint ranges added up: ``n_distinct`` with its relative ``error_bound`` (0: exact)."""
+    """Counts of disjoint ranges of one batch (batches: ``merge_groups``) added up: ``n_distinct`` with its relative ``error_bound`` (0: exact)."""
     return partials.groupBy(*fixed, "level", *by).agg(F.sum("n").alias("n_distinct")).withColumn("error_bound", F.lit(0.0))
 
 

@@ -48,9 +48,18 @@ def p4_distinct(s: SparkSession, d: str) -> DataFrame:
     return distinct.distinct_authors(t(s, d, "mentions"), t(s, d, "comments"), t(s, d, "attention_events"))
 
 
+def _sightings(s: SparkSession, d: str) -> DataFrame:
+    return distinct.sightings(t(s, d, "mentions"), "mentions").unionByName(distinct.sightings(t(s, d, "comments"), "comments"))
+
+
 def p4_partials(s: SparkSession, d: str) -> DataFrame:
-    """Partial counts per hash range, ready to be merged."""
-    return distinct.partial_counts(distinct.sightings(t(s, d, "mentions"), "mentions"), ["day", "symbol"], ranges=16)
+    """Partial counts per hash range, ready to be added up."""
+    return distinct.partial_counts(_sightings(s, d), ["day", "symbol", "subreddit"])
+
+
+def p4_pairs(s: SparkSession, d: str) -> DataFrame:
+    """Identifier-group pairs, ready to be merged with those of other batches."""
+    return distinct.identifier_groups(_sightings(s, d), ["day", "symbol", "subreddit"])
 
 
 def p5_found(s: SparkSession, d: str) -> DataFrame:
@@ -79,5 +88,5 @@ def p7_attributes(s: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_log, p1_schema, p1_records, p2_found, p2_report, p3_found, p4_distinct, p4_partials, p5_found, p5_valid, p6_found, p6_unique, p7_found, p7_attributes)
+    f.__name__: f for f in (p1_found, p1_log, p1_schema, p1_records, p2_found, p2_report, p3_found, p4_distinct, p4_partials, p4_pairs, p5_found, p5_valid, p6_found, p6_unique, p7_found, p7_attributes)
 }
