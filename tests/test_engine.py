@@ -352,7 +352,7 @@ def test_streaming_attention(spark, tmp_path):
 
 
 def test_pacing():
-    from tidewake.sources.pacing import Pace, run
+    from tidewake.sources.pacing import CRAWL, REQUESTS, Answer, Asker, Pace, SourceError, crawl, step, summary
 
     slept, done = [], []
 
@@ -361,13 +361,30 @@ def test_pacing():
             raise RuntimeError
         return 2
 
-    r = run(range(1, 25), work, lambda u, n: done.append(u), sleep=slept.append)
-    assert (r["succeeded"], r["failed"], r["records"], done, r["success_rate"]) == (4, 20, 8, [6, 12, 18, 24], 4 / 24) and max(slept) <= 60
-    assert run(range(100), lambda u: 1 / 0, sleep=slept.append)["stopped"] == "the source refuses everything" and slept.count(900.0) == 4
-    p = Pace()
-    assert [p.note(True) for _ in range(50)] == [0.0] * 50 and p.seconds == 1.5
-    assert run([1], lambda u: 1, budget=0.0, sleep=slept.append)["stopped"] == "budget spent"
-    assert run([], lambda u: 1)["success_rate"] == 0.0
+    out = summary(crawl(range(1, 25), work, lambda o: done.append(o.unit) if o.error is None else None, sleep=slept.append), 90)
+    assert out == {"attempted": 24, "succeeded": 4, "failed": 20, "records": 8, "parks": 0, "success_rate": 4 / 24, "elapsed_minutes": 1.5} and done == [6, 12, 18, 24] and max(slept) <= 60
+    slept.clear()
+    seen = crawl(range(100), lambda u: 1 / 0, sleep=slept.append)
+    assert len(seen) == 48 and summary(seen)["parks"] == 4 and slept.count(903.0) == 3 and seen[0][0].error.startswith("ZeroDivisionError")
+    p = Pace.of(CRAWL)
+    for _ in range(50):
+        p = step(CRAWL, p, True)
+    assert p.interval == 1.5
+    for _ in range(11):
+        p = step(CRAWL, p, False)
+    assert p.interval == 48.0 and step(CRAWL, p, False).interval == 3.0
+    assert crawl([1], lambda u: 1, budget=0.0, sleep=slept.append) == [] and summary([])["success_rate"] == 0.0
+    slept.clear()
+    answers = iter([Answer(429), Answer(503), Answer(429, reset=500.0), Answer(200, "ok")])
+    asker = Asker(lambda params: next(answers), sleep=slept.append, jitter=lambda: 0.5)
+    assert asker.ask({}) == "ok" and slept == [1.6, 3.5, 3.2, 6.5, 6.4, 90.0, 12.8] and asker.pace.interval == 12.8
+    for _ in range(20 * 20):
+        asker.pace = step(REQUESTS, asker.pace, True)
+    assert asker.pace.interval == 1.6
+    with pytest.raises(SourceError, match="for good"):
+        Asker(lambda params: Answer(400, "bad"), sleep=slept.append).ask({})
+    with pytest.raises(SourceError, match="no answer"):
+        Asker(lambda params: Answer(500), sleep=slept.append).ask({})
 
 
 def test_every_comment_of_a_thread_however_its_key_is_spelled(spark, tmp_path):
