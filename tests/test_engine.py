@@ -351,6 +351,19 @@ def test_streaming_attention(spark, tmp_path):
     assert len(ids) == 2
 
 
+def test_stream_of_many_files_counts_each_author_once(spark, tmp_path, rows):
+    from tidewake.streaming import attention
+
+    mentions = [("$gme" if i % 3 else "GME", f"a{i % 7}" if i % 11 else None, 1_704_067_200 + 3600 * (i % 40)) for i in range(200)]
+    spark.createDataFrame(mentions, "symbol string, author string, created_utc long").repartition(20).write.parquet(str(tmp_path / "in"))
+    src = spark.read.parquet(str(tmp_path / "in"))
+    for _ in range(2):  # nothing is new the second time
+        attention.store_pairs(attention.files(spark, str(tmp_path / "in"), src.schema, per_trigger=3), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    want = sorted({(("GME", D0 + timedelta(k)), len({m[1] for m in mentions if m[1] and (m[2] - 1_704_067_200) // 86_400 == k}), sum((m[2] - 1_704_067_200) // 86_400 == k for m in mentions)) for k in (0, 1)}, key=repr)
+    assert [((s, d), a, n) for s, d, a, n in rows(attention.stored_daily_authors(spark, str(tmp_path / "out")))] == want
+    assert len(list((tmp_path / "out").glob("batch=*"))) >= 7
+
+
 def test_pacing():
     from tidewake.sources.pacing import CRAWL, REQUESTS, Answer, Asker, Pace, SourceError, crawl, step, summary
 
@@ -393,4 +406,4 @@ def test_every_comment_of_a_thread_however_its_key_is_spelled(spark, tmp_path):
     c = [(i, "t3_th", i, "words", "a") for i in range(60)] + [(100, " T3_TH ", None, "words", "a"), (101, "th", 5, "words", "a"), (102, "t1_th", 5, "words", "a"), (103, "t3_th", 5, "[removed]", "a"), (104, None, 5, "words", "a")]
     spark.createDataFrame(c, "row_id long, link_id string, created_utc long, body string, author string").write.parquet(f"{tmp_path}/comments.parquet")
     spark.createDataFrame([("th", "daily_discussion", "s")], "id string, thread_type string, subreddit string").write.parquet(f"{tmp_path}/threads.parquet")
-    assert sorted(r.row_id for r in catalog.QUERIES["thread_comments_all"](spark, str(tmp_path)).collect()) == [*range(60), 100, 101]
+    assert sorted(r.row_id for r in catalog.QUERIES["thread_comments"](spark, str(tmp_path)).collect()) == [*range(60), 100, 101]

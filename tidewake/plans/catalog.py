@@ -306,20 +306,20 @@ def thread_coverage_report(s: SparkSession, d: str) -> DataFrame:
     return threads.coverage_report(t(s, d, "threads").where("created_utc is not null"))
 
 
+def _keyed(s: SparkSession, d: str) -> DataFrame:
+    return t(s, d, "comments").withColumn("thread", norm_key(F.col("link_id"))).where("thread is not null")
+
+
 def cap_per_group(s: SparkSession, d: str) -> DataFrame:
-    return threads.cap_per_thread(t(s, d, "comments").where("link_id is not null and created_utc is not null"), 20).select("row_id", "link_id", "created_utc")
+    return threads.cap_per_thread(_keyed(s, d).where("created_utc is not null"), 20, "thread").select("row_id", "thread", "created_utc")
 
 
 def truncated_threads(s: SparkSession, d: str) -> DataFrame:
-    return threads.truncated(t(s, d, "comments"), 20)
+    return threads.truncated(_keyed(s, d), 20, "thread")
 
 
 def thread_comments(s: SparkSession, d: str) -> DataFrame:
-    """The earliest 50 of each thread, keys as spelled, as the SQL has it; ``thread_comments_all`` has all of them."""
-    return crawl.comments_of_threads(t(s, d, "comments").where("created_utc is not null"), t(s, d, "threads"), 50, as_spelled=True).select("row_id", "_thread_id", "_thread_type")
-
-
-def thread_comments_all(s: SparkSession, d: str) -> DataFrame:
+    """Every comment of every stored thread, keys met however spelled."""
     return crawl.comments_of_threads(t(s, d, "comments"), t(s, d, "threads")).select("row_id", "_thread_id", "_thread_type")
 
 
@@ -377,12 +377,11 @@ def crowded_seconds(s: SparkSession, d: str) -> DataFrame:
 
 
 def stream_daily_authors(s: SparkSession, d: str) -> DataFrame:
-    """Mentions as a stream of files, counted by symbol and day in event time."""
+    """Mentions as a stream of files, each batch stored as pairs; distinct authors by symbol and day of all batches."""
     src = t(s, d, "mentions")
     out = f"{shared_dir(s)}/stream-{uuid.uuid4().hex}"
-    q = attention.to_sink(attention.daily_authors(attention.files(s, f"{d}/mentions.parquet", src.schema).where("created_utc is not null")), lambda b, i: b.write.mode("append").parquet(f"{out}/data"), f"{out}/state", "complete")
-    q.awaitTermination()
-    return s.read.parquet(f"{out}/data")
+    attention.store_pairs(attention.files(s, f"{d}/mentions.parquet", src.schema).where("created_utc is not null"), f"{out}/data", f"{out}/state").awaitTermination()
+    return attention.stored_daily_authors(s, f"{out}/data")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -392,7 +391,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         latest_bars, bar_returns, window_returns, forward_return, dollar_volume_bucket, listing_flags, price_status, price_status_report, chart_bars, symbol_event_stack, mention_zscores,
         universe, cashtag_mentions, unknown_cashtags, mentions_best_route, high_confidence_mentions, corpus_stopwords, symbol_tiers, clean_names,
         project_comments, withdrawn_filter, retention_report, live_only, compare_sources, collection_stats, archive_months, archive_roundtrip, manifest_latest, manifest_summary, pending_units,
-        thread_classify, thread_types, thread_dedupe, thread_merge, threads_from_posts, thread_coverage, thread_coverage_report, cap_per_group, truncated_threads, thread_comments, thread_comments_all, crawl_stats, month_windows, day_spine,
+        thread_classify, thread_types, thread_dedupe, thread_merge, threads_from_posts, thread_coverage, thread_coverage_report, cap_per_group, truncated_threads, thread_comments, crawl_stats, month_windows, day_spine,
         parse_timestamp, normalise_rows, ingest_outcome, ingest_report, dedupe_first, paginate, crowded_seconds, stream_daily_authors,
     )
 }

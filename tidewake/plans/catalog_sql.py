@@ -136,7 +136,6 @@ reasoned as (select *, case when created_utc is null then 'bad_timestamp' when b
 outcome as (
   select *, coalesce(r, case when row_id > min(row_id) filter (where r is null) over (partition by id) then 'duplicate' when {gone("body")} then 'withdrawn' else 'written' end) as reason from reasoned)
 """
-_CAP = "select row_id, link_id, created_utc, row_number() over (partition by {0} order by created_utc, row_id) as n from comments"
 
 SQL: dict[str, str] = {
     "attention_panel": f"with {_STAR} select * from panel",
@@ -183,9 +182,9 @@ SQL: dict[str, str] = {
     "threads_from_posts": f"select id, title, created_utc, {_KIND} as thread_type, subreddit, author from (select id, title, created_utc, subreddit, author from posts union all select id, title, created_utc, subreddit, author from threads) where {_KIND} is not null",
     "thread_coverage": f"with {_DAILY} select * from covered",
     "thread_coverage_report": f"with {_DAILY}, h as (select list(n order by n) as h from covered where n > 0) select count_if(n > 0) as months, (select h[len(h) // 2 + 1] from h) as median_per_month, coalesce(string_agg(month, ',' order by month) filter (where status = 'suspicious'), '') as suspicious, coalesce(string_agg(month, ',' order by month) filter (where status = 'missing'), '') as missing, (select count(*) from threads where created_utc is not null) as total_threads from covered",
-    "cap_per_group": f"select row_id, link_id, created_utc from ({_CAP.format('link_id')} where link_id is not null and created_utc is not null) where n <= 20",
-    "truncated_threads": "select link_id, count(*) as n from comments where link_id is not null group by all having n >= 20",
-    "thread_comments": f"select row_id, _thread_id, _thread_type from (select c.row_id, t.id as _thread_id, t.thread_type as _thread_type, c.body, row_number() over (partition by c.link_id order by c.created_utc, c.row_id) as n from comments c join threads t on c.link_id = 't3_' || t.id where c.created_utc is not null) where n <= 50 and not {gone('body')}",
+    "cap_per_group": f"select row_id, thread, created_utc from (select *, row_number() over (partition by thread order by created_utc, row_id) as n from (select row_id, {key('link_id')} as thread, created_utc from comments) where thread is not null and created_utc is not null) where n <= 20",
+    "truncated_threads": f"select * from (select {key('link_id')} as thread, count(*) as n from comments group by all) where thread is not null and n >= 20",
+    "thread_comments": f"select c.row_id, t.id as _thread_id, t.thread_type as _thread_type from comments c join threads t on {key('c.link_id')} = {key('t.id')} where lower(trim(c.link_id, ' \t\n\r')) not like 't1\\_%' escape '\\' and not {gone('c.body')}",
     "crawl_stats": f"with {_DONE} select count_if(record_count < 20 and track <> 'api') as units_done, count_if(record_count < 20 and track = 'api') as units_failed, count_if(record_count >= 20) as units_truncated, cast(sum(record_count) as bigint) as records from done",
     "month_windows": "select greatest(a, date '2023-01-15') as window_start, least(cast(a + interval 2 month as date), date '2024-04-10') as window_end from (select cast(unnest(generate_series(date '2023-01-01', date '2024-04-09', interval 2 month)) as date) as a)",
     "day_spine": "select cast(unnest(generate_series(date '2023-02-01', date '2024-04-30', interval 1 day)) as date) as day",
@@ -193,6 +192,7 @@ SQL: dict[str, str] = {
     "normalise_rows": f"with {_EPOCH}, {_NORMAL} select row_id, id, created_utc, body, score from outcome where r is null",
     "ingest_outcome": f"with {_EPOCH}, {_NORMAL} select row_id, reason from outcome",
     "ingest_report": f"with {_EPOCH}, {_NORMAL} select count(*) as read, " + ", ".join(f"count_if(reason = '{r}') as {r}" for r in REASONS) + ", round(count_if(reason = 'written') / count(*), 8) as kept_share from outcome",
+    "stream_daily_authors": f"select {sym('symbol')} as symbol, {day('created_utc')} as day, count(distinct author) as authors, count(*) as mentions from mentions where created_utc is not null group by all",
     "dedupe_first": "select id, min(row_id) as row_id from posts where id is not null group by all",
     "paginate": "select id, created_utc, row_id from (select *, row_number() over (partition by id order by created_utc, row_id) as n from posts where id is not null and created_utc is not null) where n = 1",
     "crowded_seconds": "select created_utc // 86400 * 86400 as created_utc, count(distinct id) as n, least(count(distinct id), 4) as recovered, count(distinct id) - least(count(distinct id), 4) as lost from posts where id is not null and created_utc is not null group by 1 having count(distinct id) > 2",

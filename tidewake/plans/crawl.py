@@ -61,16 +61,14 @@ def add_threads(spark: SparkSession, found: DataFrame, path: str) -> DataFrame:
     return kept
 
 
-def comments_of_threads(comments: DataFrame, which: DataFrame, cap: int | None = None, as_spelled: bool = False) -> DataFrame:
-    """All threads' comments in one pass: their thread's tags, withdrawn ones left out, the earliest ``cap`` of each kept.
+def comments_of_threads(comments: DataFrame, which: DataFrame, cap: int | None = None) -> DataFrame:
+    """All threads' comments in one pass: their thread's tags, the earliest ``cap`` of each, withdrawn ones left out.
 
-    Keys meet however they are spelled, unless ``as_spelled`` (``link_id`` is ``t3_`` and the id to the letter).
+    Keys meet however they are spelled; a thread is no comment, so that a key of kind t1 names none.
     """
-    key = F.concat(F.lit("t3_"), "id") if as_spelled else norm_key(F.col("id"))
-    tags = which.select(key.alias("_key"), F.col("id").alias("_thread_id"), F.col("thread_type").alias("_thread_type"), F.col("subreddit").alias("_subreddit"))
+    tags = which.select(norm_key(F.col("id")).alias("_key"), F.col("id").alias("_thread_id"), F.col("thread_type").alias("_thread_type"), F.col("subreddit").alias("_subreddit"))
     slim = comments.drop("_thread_id", "_thread_type", "_subreddit")
-    # a thread is no comment, so that a key of kind t1 names none
-    link = F.col("link_id") if as_spelled else F.when(F.coalesce(key_kind(F.col("link_id")), F.lit("t3")) == "t3", norm_key(F.col("link_id")))
+    link = F.when(F.coalesce(key_kind(F.col("link_id")), F.lit("t3")) == "t3", norm_key(F.col("link_id")))
     out = slim.withColumn("_key", link).join(tags, "_key")
     return retention.live(out if cap is None else threads.cap_per_thread(out, cap, "_key")).drop("_key")
 
