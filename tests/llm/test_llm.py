@@ -157,7 +157,9 @@ def test_copies_of_a_garbled_text_are_not_at_home(spark):
 
 def test_copies_of_a_garbled_passage_are_no_clean_twin(spark):
     twins = [(10 * i + k, garbled._confuse(t, "cp1252", "mac_roman") if k else t) for i, t in enumerate(CLEAN[:4]) for k in range(6)]
-    votes = [(x.by, x.n) for x in garbled.lessons(spark.createDataFrame(twins, "doc_id long, text string")).collect()]
+    found = garbled.pieces(spark.createDataFrame(twins, "doc_id long, text string"))
+    sent = spark.sparkContext.broadcast(garbled.model_of(found.where("not whole").selectExpr("piece as token", "n")))
+    votes = [(x.by, x.n) for x in garbled.lessons(found.where("whole").selectExpr("piece as passage", "n"), lambda: sent.value).collect()]
     assert ("cp1252", "mac_roman") in garbled.learn(votes)
 
 
@@ -180,6 +182,32 @@ def test_restored_undoes_rare_words(spark):
     assert [tuple(x) for x in got] == [(1000, "The café of Zoë Müslin is shut", True)]
 
 
+def test_however_often_it_happened(spark):
+    where = "harbour bakery museum station library market bridge tower garden school theatre cinema".split()
+    clean = [(i, f"La señora espera en el café del {w}") for i, w in enumerate(where)]
+    bad, text = [], "La señora vuelve al café"
+    for rounds in range(1, 8):
+        text = garbled._confuse(text, "utf-8", "cp1252")
+        bad.append((1000 + rounds, text))
+    docs = spark.createDataFrame(clean + bad, "doc_id long, text string")
+    assert {x.doc_id for x in garbled.garbled_documents(docs).collect()} == {b[0] for b in bad}
+    assert {tuple(x) for x in garbled.restored(docs).collect()} == {(b[0], "La señora vuelve al café", True) for b in bad}
+
+
+def test_multi_byte_confusions_are_learned_from_twins(spark):
+    twins = [(10 * i + k, garbled._confuse(t, "utf-8", "cp1254") if k > 3 else t) for i, t in enumerate(CLEAN[:8]) for k in range(6)]
+    found = garbled.pieces(spark.createDataFrame([(i, f"{t} {i}x") for i, t in twins], "doc_id long, text string"))
+    sent = spark.sparkContext.broadcast(garbled.model_of(found.where("not whole").selectExpr("piece as token", "n")))
+    votes = [(x.by, x.n) for x in garbled.lessons(found.where("whole").selectExpr("piece as passage", "n"), lambda: sent.value).collect()]
+    assert garbled.learn(votes)[0] == ("utf-8", "cp1254") or ("utf-8", "cp1254") in {garbled.CONFUSIONS[int(i)] for by, _ in votes for i in by.split(",")}
+
+
+def test_pieces_and_model(spark):
+    assert [sorted(r.token for r in garbled.tokens(spark.createDataFrame([(1, t)], "doc_id long, text string")).collect()) for t in ("a bé\tcd éf\n" + "x" * 50_000 + " yé é", "", "plain")] == [["bé", "yé", "é", "éf"], [], []]
+    m = garbled.model_of(spark.createDataFrame([("café", 3), ("été", 1), ("éé", 5)], "token string, n long"))
+    assert m.common == {"é"} and m.score(["café", "zzé"])[0] > m.score(["zzé"])[0] and m.score([]).size == 0
+
+
 def test_garbled_on_empty_and_clean_tables(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert garbled.garbled_documents(empty).count() == 0 and garbled.restored(empty).count() == 0

@@ -1,17 +1,24 @@
 """Text decoded with the wrong character encoding (problem 10): found, and restored where it still can be.
 
-1. Twins. Passages are joined on their text without non-ASCII characters (case and numbers set aside): each variant
-   with the variant of the same remainder that most distinct texts hold, never variants among each other.
-2. Alignment. The ASCII remainder anchors the non-ASCII runs of both twins; a pair of runs votes for every confusion
-   of encodings (written in one, read in another) that turns the one into the other. Confusions that explain most
-   are learned greedily. Confusions of two single-byte encodings, which any text would survive, are used only if
-   learned so; those that must pass the strict structure of a multi-byte encoding are always tried.
-3. Application. Each distinct token with non-ASCII characters is undone by the known confusions, up to three deep. An
-   undoing counts if the words it gives are at home in the corpus and those it takes away are not.
-4. A document is garbled if a token of it is, or if it holds the replacement character of a failed decoding.
-
-Vocabulary, tokens and candidates are distributed tables joined by equality; the driver sees only votes by set of
-confusions, which the table of encodings bounds.
+1. Pieces. Each distinct text gives its passages and tokens with non-ASCII characters; both are counted by text, so
+   that copies make nothing at home in the corpus. A bounded model of what is at home comes from the tokens: counts of
+   characters and of hashed pairs of neighbours.
+2. Twins. Passages are joined on their text without non-ASCII characters (case and numbers set aside), and on that text
+   with a mark for each such character, which single-byte confusions keep: each variant with the variant that most
+   texts hold, never variants among each other.
+3. Alignment. The ASCII remainder anchors the non-ASCII runs of both twins; of two runs the one less at home is the
+   garbled one, and the pair votes for every confusion of encodings (written in one, read in another) that explains
+   it. Confusions that explain most are learned greedily. Confusions of two single-byte encodings, which any text would
+   survive, are used only if learned so. Those that must pass the strict structure of a multi-byte encoding are tried
+   even if unlearned, as Shift-JIS puts ASCII into the text and leaves it without a twin.
+4. Application. The tokens of a batch are undone round by round, until nothing changes: forms that come out of UTF-8
+   structure go on by any confusion, others as long as each round makes them more at home. The model screens forms,
+   then an exact look-up decides: an undoing counts if the words it gives are at home and those it takes away are not.
+5. A document is garbled if a token of it is, or if it holds the replacement character of a failed decoding.
+
+Vocabulary, tokens and candidates are distributed tables joined by equality. The driver sees votes by set of
+confusions, which the table of encodings bounds, and the model: at most one number per character of Unicode and
+``BUCKETS`` numbers for pairs.
 
 Cases: null, empty and pure ASCII text is never garbled; unusual but correct characters (box drawing, ligatures,
 combining marks, mathematical signs, NBSP) stand for themselves; repeated documents are each found; a text of any
@@ -20,12 +27,14 @@ length is read whole; extra columns are ignored.
 
 from __future__ import annotations
 
+import codecs
 import re
 import string
 from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,22 +43,50 @@ from tidewake.session import materialise, spread
 
 MULTI = ("utf-8", "cp932", "euc_jp", "gbk", "big5")
 SINGLE = ("cp1252", "cp1251", "cp1250", "koi8-r", "cp866", "cp437", "cp850", "mac_roman")
-READ_AS = ("cp1252", "latin-1", "cp1251", "cp1250", "koi8-r", "cp866", "cp437", "cp850", "mac_roman", "gbk", "big5", "cp932")
+READ_AS = ("cp1252", "latin-1", "cp1251", "cp1250", "cp1254", "cp1253", "cp1257", "iso8859-2", "koi8-r", "cp866", "cp437", "cp850", "mac_roman", "gbk", "big5", "cp932")
 #: Every confusion: written in the first, read as the second.
 CONFUSIONS = tuple((w, r) for w in (*MULTI, *SINGLE) for r in READ_AS if w != r)
-#: Undoings in a row; distinct pairs of runs that teach a confusion; how many times as frequent restored words must be.
-DEPTH, LESSONS, RATIO = 3, 2, 4.0
+#: Distinct pairs of runs that teach a confusion; texts that make a word at home; how many times as frequent restored words must be.
+LESSONS, HOME, RATIO = 2, 3, 4.0
+#: Counters of the model of neighbouring characters.
+BUCKETS = 1 << 20
 LOST = "�"
 NUMBER = r"[0-9][0-9,.]*"
-_TOKEN = "[ \\t\\r\\n\\f]+"
+_BLANK = " \\t\\r\\n\\f"
+#: A whole token (what stands between blanks) that holds a non-ASCII character.
+_TOKEN = rf"(?<![^{_BLANK}])[\x00-\x7f&&[^{_BLANK}]]*+[^\x00-\x7f][^{_BLANK}]*+"
+_MULTIBYTE = frozenset(MULTI)
+_CONTROLS = re.compile("[\x80-\x9f]")
+_LOW = re.compile("[\x00-\x1f]")
+
+
+@lru_cache(None)
+def _letters(encoding: str) -> str:
+    """The 256 letters of a single-byte encoding; bytes it leaves undefined stand for the control characters of their number."""
+    return "".join(bytes([b]).decode(encoding, "ignore") or chr(b) for b in range(256))
+
+
+@lru_cache(None)
+def _bytes(encoding: str, controls: bool) -> object:
+    """From letters to bytes; ``controls``: those that a kin of the encoding leaves undefined are among them."""
+    if not controls:
+        return codecs.charmap_build(_letters(encoding))
+    return {b: b for b in range(0x80, 0xA0)} | {ord(c): b for b, c in enumerate(_letters(encoding))}
 
 
 def encode(text: str, encoding: str) -> bytes | None:
-    """Bytes of ``text``; bytes that the encoding leaves undefined stand for the control characters of their number."""
+    """Bytes of ``text``; null if the encoding lacks a character of it."""
+    multi = encoding in _MULTIBYTE
     try:
-        return text.encode(encoding)
+        return text.encode(encoding) if multi else codecs.charmap_encode(text, "strict", _bytes(encoding, False))[0]
     except UnicodeEncodeError:
-        pass
+        if not _CONTROLS.search(text):
+            return None
+    if not multi:
+        try:
+            return codecs.charmap_encode(text, "strict", _bytes(encoding, True))[0]
+        except UnicodeEncodeError:
+            return None
     out = bytearray()
     for c in text:
         try:
@@ -62,12 +99,12 @@ def encode(text: str, encoding: str) -> bytes | None:
 
 
 def decode(data: bytes, encoding: str) -> str | None:
+    if encoding not in _MULTIBYTE:
+        return codecs.charmap_decode(data, "strict", _letters(encoding))[0]
     try:
         return data.decode(encoding)
     except UnicodeDecodeError:
-        if encoding in MULTI:
-            return None
-    return "".join(bytes([b]).decode(encoding, "ignore") or chr(b) for b in data)
+        return None
 
 
 def undo(text: str, written: str, read: str) -> str | None:
@@ -82,7 +119,7 @@ def _confuse(text: str, written: str, read: str) -> str | None:
     return None if data is None else decode(data, read)
 
 
-# --- twins ---------------------------------------------------------------------------------------------------------
+# --- pieces and the model ------------------------------------------------------------------------------------------
 
 
 def texts(documents: DataFrame) -> DataFrame:
@@ -90,14 +127,89 @@ def texts(documents: DataFrame) -> DataFrame:
     return documents.where(F.col("text").rlike(r"[^\x00-\x7f]")).select("text").distinct()
 
 
-def passages(documents: DataFrame) -> DataFrame:
-    """Distinct passages with non-ASCII characters, numbers masked: ``rest`` (their ASCII remainder), ``passage``, ``n`` (rows of ``documents`` that hold them)."""
+def _passages() -> Column:
     # the case of other letters is kept: a confusion of encodings may well turn it
     low = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
-    cut = F.filter(F.split(low, r"\n+|(?<=[.!?]) +"), lambda p: p.rlike(r"[^\x00-\x7f]"))
-    masked = F.regexp_replace("p", NUMBER, "0")
-    p = documents.where("text is not null").select(F.explode(F.array_distinct(cut)).alias("p")).select(masked.alias("passage"))
-    return p.groupBy("passage").agg(F.count(F.lit(1)).alias("n")).withColumn("rest", F.regexp_replace("passage", r"[^\x00-\x7f]+", "")).where(F.length("rest") >= 6)
+    return F.filter(F.split(F.regexp_replace(low, NUMBER, "0"), r"\n+|(?<=[.!?]) +"), lambda p: p.rlike(r"[^\x00-\x7f]"))
+
+
+def _tokens() -> Column:
+    return F.array_distinct(F.regexp_extract_all("text", F.lit(_TOKEN), F.lit(0)))
+
+
+def pieces(documents: DataFrame) -> DataFrame:
+    """``whole, piece, n``: passages (``whole``, numbers masked) and tokens with non-ASCII characters, by number of distinct texts."""
+    both = F.concat(F.transform(F.array_distinct(_passages()), lambda p: F.struct(F.lit(True).alias("whole"), p.alias("piece"))), F.transform(_tokens(), lambda t: F.struct(F.lit(False).alias("whole"), t.alias("piece"))))
+    return texts(documents).select(F.inline(both)).groupBy("whole", "piece").agg(F.count(F.lit(1)).alias("n"))
+
+
+def tokens(documents: DataFrame) -> DataFrame:
+    """``doc_id, token``: the distinct tokens with non-ASCII characters of each document."""
+    return documents.where("text is not null").select("doc_id", F.explode(_tokens()).alias("token"))
+
+
+def _codes(strings: list[str]) -> np.ndarray:
+    """Code points of strings, ASCII letters in lower case, a blank before, between and after the strings."""
+    # the case of other letters is kept: a confusion of encodings may well turn it
+    codes = np.frombuffer(f" {' '.join(strings)} ".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    return codes + 32 * ((codes >= 65) & (codes <= 90))
+
+
+def _pairs(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the pairs of neighbours that hold a non-ASCII character, and the string each belongs to."""
+    a, b = codes[:-1], codes[1:]
+    at = (a > 127) | (b > 127)
+    return (a[at] * 0x9E3779B1 + b[at] * 0x85EBCA6B >> 7) % BUCKETS, (np.cumsum(codes == 32)[:-1] - 1)[at]
+
+
+class Model:
+    """How often characters and hashed pairs of neighbours occur, by distinct text."""
+
+    def __init__(self, chars: dict[int, int], pairs: tuple[np.ndarray, np.ndarray]) -> None:
+        low: Counter[str] = Counter()
+        for c, n in chars.items():
+            low[chr(c).lower()] += n
+        self.common = frozenset(c for c, n in low.items() if n >= HOME)
+        self.log = np.zeros(BUCKETS, np.float32)
+        self.log[pairs[0]] = np.log1p(pairs[1])
+
+    def score(self, strings: list[str]) -> np.ndarray:
+        """How much at home each string is: the mean over its pairs."""
+        if not strings:
+            return np.zeros(0)
+        at, whose = _pairs(_codes(strings))
+        return np.bincount(whose, self.log[at], len(strings)) / np.maximum(np.bincount(whose, minlength=len(strings)), 1)
+
+
+def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Characters (negative numbers) and pairs of the tokens of a partition, each with its number of texts."""
+    total = np.zeros(BUCKETS, np.int64)
+    chars: Counter[int] = Counter()
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        codes = _codes(pdf["token"].tolist())
+        n = pdf["n"].to_numpy(np.int64)
+        at, whose = _pairs(codes)
+        np.add.at(total, at, n[whose])
+        other = codes > 127
+        # a character counts once per token, however often it stands there
+        one = np.unique((np.cumsum(codes == 32) - 1)[other] << 21 | codes[other])
+        c, back = np.unique(one & (1 << 21) - 1, return_inverse=True)
+        for k, m in zip(c.tolist(), np.bincount(back, n[one >> 21]).tolist()):
+            chars[k] += int(m)
+    at = np.flatnonzero(total)
+    yield pd.DataFrame({"k": np.concatenate((at, -np.fromiter(chars.keys(), np.int64, len(chars)))), "n": np.concatenate((total[at], np.fromiter(chars.values(), np.int64, len(chars))))})
+
+
+def model_of(counted: DataFrame) -> Model:
+    """The model of a table of tokens. Its rows are at most BUCKETS and the characters of Unicode, whatever the corpus."""
+    got = counted.mapInPandas(_count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toPandas()
+    k, n = got["k"].to_numpy(np.int64), got["n"].to_numpy(np.int64)
+    return Model(dict(zip((-k[k < 0]).tolist(), n[k < 0].tolist())), (k[k >= 0], n[k >= 0]))
+
+
+# --- twins ---------------------------------------------------------------------------------------------------------
 
 
 def runs_by_anchor(passage: str) -> dict[int, str]:
@@ -113,29 +225,42 @@ def runs_by_anchor(passage: str) -> dict[int, str]:
 
 @lru_cache(200_000)
 def explained(garbled: str, clean: str) -> str:
-    """The confusions (their places in CONFUSIONS) that turn ``clean`` into ``garbled``."""
+    """The confusions (their places in CONFUSIONS) that turn ``clean`` into ``garbled``; none if both are misread UTF-8."""
+    if all(any(undo(x, "utf-8", r) is not None for r in READ_AS) for x in (garbled, clean)):
+        return ""
     return ",".join(str(i) for i, (w, r) in enumerate(CONFUSIONS) if _confuse(clean, w, r) == garbled)
 
 
-def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        out = set()
-        for variant, clean, even in zip(pdf["passage"], pdf["clean"], pdf["even"]):
-            a, b = runs_by_anchor(variant), runs_by_anchor(clean)
-            for at in a.keys() & b.keys():
-                # of two as frequent either may be the clean one
-                for x, y in [(a[at], b[at]), (b[at], a[at])][: 1 + even]:
-                    if x != y and (by := explained(x, y)):
-                        out.add((by, x, y))
-        yield pd.DataFrame(sorted(out), columns=["by", "garbled", "clean"])
+def _align(model: Callable[[], Model]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def at_home(passage: str) -> float:
+        return float(model().score([t for t in passage.split(" ") if not t.isascii()]).mean())
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = set()
+            for variant, top, even in zip(pdf["passage"], pdf["top"], pdf["even"]):
+                # what more texts hold is clean; of two as frequent, the one more at home
+                clean, bad = (variant, top) if even and at_home(variant) > at_home(top) else (top, variant)
+                a, b = runs_by_anchor(bad), runs_by_anchor(clean)
+                for at in a.keys() & b.keys():
+                    if a[at] != b[at] and (by := explained(a[at], b[at])):
+                        out.add((by, a[at], b[at]))
+            yield pd.DataFrame(sorted(out), columns=["by", "garbled", "clean"])
+
+    return run
 
-def lessons(documents: DataFrame, once: bool = False) -> DataFrame:
-    """``by, n``: how many distinct pairs of aligned runs each set of confusions explains. ``once``: no text is there twice."""
-    found = passages(documents if once else texts(documents))
-    common = found.groupBy("rest").agg(F.max(F.struct("n", "passage")).alias("top"), F.count(F.lit(1)).alias("variants")).where("variants > 1").select("rest", F.col("top.passage").alias("clean"), F.col("top.n").alias("most"))
-    pairs = found.join(common, "rest").where("passage <> clean").select("passage", "clean", (F.col("n") == F.col("most")).alias("even"))
-    return pairs.mapInPandas(align, "by string, garbled string, clean string").distinct().groupBy("by").agg(F.count(F.lit(1)).alias("n"))
+
+def lessons(passages: DataFrame, model: Callable[[], Model]) -> DataFrame:
+    """``by, n``: how many distinct pairs of aligned runs each set of confusions explains."""
+    other = r"[^\x00-\x7f]"
+    rest = F.regexp_replace("passage", other, "")
+    # two passages of one hash by chance cost a vain alignment, nothing else
+    keys = F.array(F.when(F.length(rest) >= 6, F.xxhash64(rest, F.lit("rest"))), F.xxhash64(F.regexp_replace("passage", other, "\x01")))
+    keyed = passages.select("passage", "n", F.explode(keys).alias("h")).where("h is not null")
+    twins = keyed.join(keyed.groupBy("h").agg(F.count(F.lit(1)).alias("variants")).where("variants > 1").select("h"), "h", "left_semi")
+    tops = twins.groupBy("h").agg(F.max(F.struct("n", "passage")).alias("t")).select("h", F.col("t.passage").alias("top"), F.col("t.n").alias("most"))
+    pairs = twins.join(tops, "h").where("passage <> top").select("passage", "top", (F.col("n") == F.col("most")).alias("even"))
+    return pairs.mapInPandas(_align(model), "by string, garbled string, clean string").distinct().groupBy("by").agg(F.count(F.lit(1)).alias("n"))
 
 
 def learn(votes: list[tuple[str, int]], least: int = LESSONS) -> list[tuple[str, str]]:
@@ -156,18 +281,12 @@ def learn(votes: list[tuple[str, int]], least: int = LESSONS) -> list[tuple[str,
 # --- tokens --------------------------------------------------------------------------------------------------------
 
 
-def tokens(documents: DataFrame) -> DataFrame:
-    """``doc_id, token``: the distinct tokens with non-ASCII characters of each document."""
-    cut = F.filter(F.split("text", _TOKEN), lambda t: t.rlike(r"[^\x00-\x7f]"))
-    return documents.where("text is not null").select("doc_id", F.explode(F.array_distinct(cut)).alias("token"))
-
-
 def keys_of(token: str) -> set[str]:
-    """Vocabulary keys: words (letters and non-ASCII), non-ASCII runs between CJK stops, single characters, and the token with numbers masked."""
+    """Vocabulary keys: words (letters and non-ASCII), non-ASCII runs between CJK stops, and the token with numbers masked."""
     t = token.lower()
     out = {"w" + w for w in re.findall(r"[a-z\u0080-\U0010ffff]+", t) if not w.isascii()}
     out |= {"r" + r for r in re.findall(r"[^\x00-\x7f、。]+", t)}
-    return out | {"c" + c for c in t if c > "\x7f"} | {"m" + re.sub(NUMBER, "0", t)}
+    return out | {"m" + re.sub(NUMBER, "0", t)}
 
 
 def telling(token: str) -> bool:
@@ -176,60 +295,115 @@ def telling(token: str) -> bool:
 
 
 def vocabulary(counted: DataFrame) -> DataFrame:
-    """``key, n``: in how many distinct texts (by token) each word, run and character occurs."""
+    """``key, n``: in how many distinct texts (by token) each word and run occurs."""
     t = F.lower("token")
 
     def tagged(tag: str, parts: Column) -> Column:
         return F.transform(F.filter(parts, lambda w: w.rlike(r"[^\x00-\x7f]")), lambda w: F.concat(F.lit(tag), w))
 
-    keys = F.array_distinct(F.concat(tagged("w", F.split(t, r"[^a-z\x{80}-\x{10ffff}]+")), tagged("r", F.split(t, r"[\x00-\x7f、。]+")), tagged("c", F.split(t, "")), F.array(F.concat(F.lit("m"), F.regexp_replace(t, NUMBER, "0")))))
+    keys = F.array_distinct(F.concat(tagged("w", F.split(t, r"[^a-z\x{80}-\x{10ffff}]+")), tagged("r", F.split(t, r"[\x00-\x7f、。]+")), F.array(F.concat(F.lit("m"), F.regexp_replace(t, NUMBER, "0")))))
     return counted.select("n", F.explode(keys).alias("key")).groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def _undoings(token: str, known: tuple[tuple[str, str], ...]) -> dict[str, str]:
-    """Earlier forms of a token -> the weakest structure on the way (``multi`` or ``single``)."""
-    out: dict[str, str] = {}
-    level = {token: "multi"}
-    by_read: dict[str, list[str]] = {}
-    for w, r in known:
-        by_read.setdefault(r, []).append(w)
-    for _ in range(DEPTH):
-        nxt: dict[str, str] = {}
-        for t, kind in level.items():
-            for read, written in by_read.items():
-                data = encode(t, read)
-                # what the encoding lacks stays as it is: only the runs it has are undone
-                parts = None if data is not None else [(p, encode(p, read)) for p in re.findall(r"[\x00-\x7f]+|[^\x00-\x7f]+", t)]
-                for w in written:
-                    if parts is None:
-                        got = decode(data, w)
-                    else:
-                        if w not in MULTI:
-                            continue
-                        got = "".join((d if x is not None and (d := decode(x, w)) is not None else p) for p, x in parts)
-                    if got is None or got in (t, token) or any(c < " " for c in got):
-                        continue
-                    if w in SINGLE and not telling(t):
+@lru_cache(None)
+def _stretches(read: str) -> tuple[re.Pattern[str], re.Pattern[str]]:
+    """In text read in a single-byte encoding: one character in UTF-8, and any stretch of non-ASCII characters it has."""
+    have = _letters(read)
+
+    def among(lo: int, hi: int) -> str:
+        return "[" + "".join(re.escape(have[b]) + (chr(b) if b < 0xA0 else "") for b in range(lo, hi + 1)) + "]"
+
+    more = among(0x80, 0xBF)
+    return re.compile(f"{among(0xC2, 0xDF)}{more}|{among(0xE0, 0xEF)}{more}{{2}}|{among(0xF0, 0xF4)}{more}{{3}}"), re.compile(among(0x80, 0xFF) + "{2,}")
+
+
+class Tries:
+    """Which confusions to try, by the encoding read in: on tokens with one non-ASCII character, and with several.
+
+    A text in UTF-8 that was read in a single-byte encoding shows two characters at least. A confusion that is not
+    learned needs two as well, as a letter with an accent and the one after it often make up some double byte.
+    """
+
+    def __init__(self, learned: list[tuple[str, str]] | tuple[tuple[str, str], ...]) -> None:
+        tried = [c for c in CONFUSIONS if c[0] in _MULTIBYTE or c in learned]
+        one = [(w, r) for w, r in tried if w in SINGLE or (r in _MULTIBYTE if w == "utf-8" else (w, r) in learned)]
+        self.one, self.more = ({r: [w for w, x in some if x == r] for r in dict.fromkeys(x for _, x in some)} for some in (one, tried))
+
+
+def earlier(token: str, tries: Tries) -> Iterator[tuple[str, str]]:
+    """What a token may have been one confusion ago, with the encoding it was written in."""
+    signs = len(token) - len(token.encode("ascii", "ignore"))
+    tells = telling(token)
+    lacking = []
+    vouched = False
+    for read, written in (tries.one if signs == 1 else tries.more).items():
+        data = encode(token, read)
+        if data is None:
+            if "utf-8" in written and read not in _MULTIBYTE:
+                lacking.append(read)
+            continue
+        for w in written:
+            if (tells or w in _MULTIBYTE) and (got := decode(data, w)) is not None and got != token and not _LOW.search(got):
+                vouched |= w == "utf-8"
+                yield got, w
+    if vouched:
+        return
+    # what no encoding has stays as it is: only the stretches that are UTF-8 are undone, by the reading that finds most
+    parts = set()
+    for read in lacking:
+        one, stretch = _stretches(read)
+        if one.search(token):
+            got = stretch.sub(lambda m: one.match(m[0]) and undo(m[0], "utf-8", read) or m[0], token)
+            if got != token and not _LOW.search(got):
+                parts.add(got)
+    most = min(map(len, parts), default=0)
+    for got in sorted(parts):
+        if len(got) == most:
+            yield got, "utf-8"
+
+
+def undoings(strings: list[str], tries: Tries, model: Model) -> list[tuple[str, str, str]]:
+    """Token, earlier form and the weakest structure on the way (``utf-8``, ``other`` or ``single``), until nothing changes.
+
+    A form out of UTF-8 structure is shorter than what it came from, and any other must be more at home than that, so
+    that the rounds come to an end.
+    """
+    out: list[tuple[str, str, str]] = []
+    seen: set[tuple[str, str]] = set()
+    level = [(t, t, "utf-8") for t in strings]
+    while level:
+        new: list[tuple[int, str, str]] = []
+        for i, (token, form, kind) in enumerate(level):
+            have = set(form)
+            for got, w in earlier(form, tries):
+                k = "single" if kind == "single" or w in SINGLE else "utf-8" if w == kind == "utf-8" else "other"
+                if (token, got) in seen or got == token:
+                    continue
+                if k != "utf-8":
+                    won = [c in model.common or c.lower() in model.common for c in set(got) - have if c > "\x7f"]
+                    if 2 * sum(won) < len(won):
                         continue
-                    k = "single" if kind == "single" or w in SINGLE else ("utf-8" if w == "utf-8" and kind in ("multi", "utf-8") else "other")
-                    if got not in out:
-                        nxt.setdefault(got, k)
-        out |= {k: v for k, v in nxt.items() if k not in out}
-        # only a form that structure vouches for is undone further
-        level = {k: v for k, v in nxt.items() if v == "utf-8" and not k.isascii()}
+                seen.add((token, got))
+                new.append((i, got, k))
+        was = model.score([x[1] for x in level])
+        up = model.score([x[1] for x in new]) > was[np.fromiter((x[0] for x in new), np.int64, len(new))]
+        nxt = [(level[i][0], got, k) for (i, got, k), better in zip(new, up) if better or k == "utf-8"]
+        out += nxt
+        level = [x for x in nxt if not x[1].isascii()]
     return out
 
 
-def _candidates(known: tuple[tuple[str, str], ...]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+def _candidates(learned: list[tuple[str, str]], model: Callable[[], Model]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tries = Tries(learned)
         for pdf in batches:
             out = []
-            for token in pdf["token"]:
-                old = keys_of(token)
-                for form, kind in _undoings(token, known).items():
-                    new = keys_of(form)
-                    out.append((token, form, kind, sorted(old - new), sorted(new - old)))
-            yield pd.DataFrame(out, columns=["token", "form", "kind", "lost", "won"])
+            for token, form, kind in undoings(pdf["token"].tolist(), tries, model()):
+                old, new = keys_of(token), keys_of(form)
+                letters = {c for c in form.lower() if c > "\x7f"} - set(token.lower())
+                home = sum(c in model().common for c in letters) / max(len(letters), 1)
+                out.append((token, form, kind, home, len(letters), LOST in letters, sorted(old - new), sorted(new - old)))
+            yield pd.DataFrame(out, columns=["token", "form", "kind", "letters", "n_letters", "lossy", "lost", "won"])
 
     return run
 
@@ -241,37 +415,35 @@ def garbled_tokens(documents: DataFrame) -> DataFrame:
 
 def _judged(documents: DataFrame) -> tuple[DataFrame, DataFrame, list[tuple[str, str]]]:
     """Garbled tokens with their forms; all tokens with the number of distinct texts they are in; the confusions learned."""
-    documents = materialise(texts(documents))
-    learned = learn([(x.by, x.n) for x in lessons(documents, once=True).collect()])
-    known = tuple(sorted({c for c in CONFUSIONS if c[0] in MULTI} | set(learned)))
-    counted = tokens(documents.withColumn("doc_id", F.lit(0))).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    counted = materialise(counted)
-    words = vocabulary(counted)
-    cand = spread(counted.select("token"), "token").mapInPandas(_candidates(known), "token string, form string, kind string, lost array<string>, won array<string>")
+    found = materialise(pieces(documents))
+    counted = found.where("not whole").select(F.col("piece").alias("token"), "n")
+    sent = documents.sparkSession.sparkContext.broadcast(model_of(counted))
+    model = lambda: sent.value
+    passages = found.where("whole").select(F.col("piece").alias("passage"), "n")
+    learned = learn([(x.by, x.n) for x in lessons(passages, model).collect()])
+    cand = spread(counted.select("token"), "token").mapInPandas(_candidates(learned, model), "token string, form string, kind string, letters double, n_letters long, lossy boolean, lost array<string>, won array<string>")
     # only a number goes with each key; the texts stay behind
     cand = materialise(cand.withColumn("c", F.xxhash64("token", "form")))
     side = F.explode(F.concat(F.transform("lost", lambda k: F.struct(k.alias("key"), F.lit(False).alias("won"))), F.transform("won", lambda k: F.struct(k.alias("key"), F.lit(True).alias("won")))))
-    looked = cand.select("c", side.alias("x")).select("c", "x.*").join(words, "key", "left")
+    looked = cand.select("c", side.alias("x")).select("c", "x.*").join(vocabulary(counted), "key", "left")
     n, tag = F.coalesce("n", F.lit(0)), F.substr("key", F.lit(1), F.lit(1))
 
     def level(side: Column, t: Column) -> Column:
         return F.coalesce(F.avg(F.when(side & t, F.log1p(n))), F.lit(0.0))
 
-    def share(t: Column, least: int) -> Column:
-        return F.coalesce(F.avg(F.when(F.col("won") & t, (n >= least).cast("double"))), F.lit(0.0))
+    def share(t: Column) -> Column:
+        return F.coalesce(F.avg(F.when(F.col("won") & t, (n >= HOME).cast("double"))), F.lit(0.0))
+
+    def rise(tag_: str) -> Column:
+        return level(F.col("won"), tag == tag_) - level(~F.col("won"), tag == tag_)
 
-    scored = looked.groupBy("c").agg(
-        (level(F.col("won"), tag == "w") - level(~F.col("won"), tag == "w")).alias("words"), share(tag == "w", 3).alias("known"),
-        (level(F.col("won"), tag == "r") - level(~F.col("won"), tag == "r")).alias("runs"), share(tag == "r", 3).alias("known_runs"),
-        (level(F.col("won"), tag == "m") - level(~F.col("won"), tag == "m")).alias("masks"), share(tag == "m", 3).alias("known_masks"),
-        share(tag == "c", 3).alias("letters"), F.count_if(F.col("won") & (tag == "c")).alias("n_letters"),
-        F.max(F.col("won") & (F.col("key") == "c" + LOST)).alias("lost"),
-    )
+    scored = looked.groupBy("c").agg(rise("w").alias("words"), share(tag == "w").alias("known"), rise("r").alias("runs"), share(tag == "r").alias("known_runs"), rise("m").alias("masks"), share(tag == "m").alias("known_masks"))
     home = (F.col("known") >= 0.75) & (F.col("words") >= F.log(F.lit(RATIO)))
     home_runs = (F.col("known_runs") >= 0.75) & (F.col("runs") >= F.log(F.lit(RATIO)))
-    strong = (F.col("kind") == "utf-8") & (F.col("lost") | (F.col("letters") == 1) & (F.col("n_letters") >= 2))
+    strong = (F.col("kind") == "utf-8") & (F.col("lossy") | (F.col("letters") == 1) & (F.col("n_letters") >= 2))
     shape = (F.col("known_masks") == 1) & (F.col("masks") >= F.log(F.lit(RATIO)))
-    good = scored.join(cand.select("c", "token", "form", "kind"), "c").where(F.when(F.col("kind") == "single", F.when(F.col("token").rlike("[A-Za-z]"), home).otherwise(home & shape)).otherwise(home) | (F.col("kind") != "single") & home_runs | strong).withColumn("score", F.col("words") + F.col("known") + F.col("letters"))
+    single = F.col("kind") == "single"
+    good = cand.drop("lost", "won").join(scored, "c", "left").where(strong | F.when(single, home & (shape | F.col("token").rlike("[A-Za-z]"))).otherwise(home | home_runs)).withColumn("score", F.col("words") + F.col("known") + F.col("letters"))
     return good.groupBy("token").agg(F.max_by("form", F.struct("score", "form")).alias("form")), counted, learned
 
 
@@ -289,16 +461,18 @@ def ways(token: str, form: str, learned: tuple[tuple[str, str], ...]) -> frozens
     """The shortest ways from a token to its form: confusions undone one after the other."""
     usable = [c for c in CONFUSIONS if c[0] in MULTI or c in learned]
     level: dict[str, list[Way]] = {token: [()]}
-    for _ in range(DEPTH):
+    seen = {token}
+    while level:
         nxt: dict[str, list[Way]] = {}
         for t, before in level.items():
             for c in usable:
-                if (got := undo(t, *c)) is not None:
-                    nxt.setdefault(got, []).extend((*w, c) for w in before)
-        if form in nxt:
+                if (got := undo(t, *c)) is not None and got not in seen:
+                    # a form that no structure vouches for goes on by its own confusion only
+                    nxt.setdefault(got, []).extend((*w, c) for w in before if not w or w[-1][0] == "utf-8" or w[-1] == c)
+        if nxt.get(form):
             return frozenset(nxt[form])
-        level = {t: [w for w in ws if w[-1][0] == "utf-8"] for t, ws in nxt.items() if not t.isascii()}
-        level = {t: ws for t, ws in level.items() if ws}
+        seen |= nxt.keys()
+        level = {t: ws for t, ws in nxt.items() if ws and not t.isascii()}
     return frozenset()
 
 
