@@ -242,7 +242,7 @@ def test_bloom_has_no_false_negatives():
     import numpy as np
 
     h = np.random.default_rng(1).integers(0, 1 << 63, 50_000).astype(np.uint64)
-    bloom = redelivery.Bloom(h[:20_000])
+    bloom = redelivery.Bloom(20_000).add(h[:20_000])
     assert bloom.maybe(h[:20_000]).all() and bloom.maybe(h[20_000:]).mean() < 0.02
 
 
@@ -302,3 +302,58 @@ def test_registered_partials_and_pairs_make_up_the_counts(spark, data, rows):
     # an author that two batches hold is counted once
     halves = [pairs.where("pmod(hash(author, level), 3) < 2"), pairs.where("pmod(hash(author, level), 3) > 0")]
     assert rows(distinct.merge_partials(distinct.count_groups(distinct.merge_groups(*halves), by), by).select(cols)) == want
+
+
+# --- hot keys
+
+
+@pytest.fixture
+def tight(spark):
+    """Settings under which small test tables are as skewed as large ones are by default; nothing is broadcast."""
+    keep = {}
+    for k, v in {"autoBroadcastJoinThreshold": "-1", "adaptive.autoBroadcastJoinThreshold": "-1", "adaptive.skewJoin.skewedPartitionThresholdInBytes": "2000", "adaptive.skewJoin.skewedPartitionFactor": "1.2", "adaptive.advisoryPartitionSizeInBytes": "4000"}.items():
+        keep[k] = spark.conf.get(f"spark.sql.{k}", None)
+        spark.conf.set(f"spark.sql.{k}", v)
+    yield
+    for k, v in keep.items():
+        spark.conf.unset(f"spark.sql.{k}") if v is None else spark.conf.set(f"spark.sql.{k}", v)
+
+
+def run_plan(df):
+    """The rows of a query, and its plan as it was run."""
+    return len(df.collect()), df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_hot_missing_parent_splits_the_join(spark, tight):
+    c = spark.range(40_000).select(F.col("id").alias("row_id"), F.concat(F.lit("c"), "id").alias("id"), F.col("id").alias("created_utc"), F.timestamp_seconds("id").alias("received_at"), F.when(F.col("id") % 2 == 0, "t3_hot").otherwise(F.concat(F.lit("t3_x"), "id")).alias("link_id"), F.lit(None).cast("string").alias("parent_id")).repartition(8)
+    none = spark.createDataFrame([], "id string, received_at timestamp")
+    n, plan = run_plan(orphans.orphan_references(c, none, none.select("id"), spark.createDataFrame([], "fullname string")))
+    assert n == 40_000 and "skew=true" in plan
+
+
+def test_a_hot_symbol_splits_the_join(spark, tight):
+    m = spark.range(40_000).select(F.col("id").alias("mention_id"), F.when(F.col("id") % 2 == 0, "HOT").otherwise(F.concat(F.lit("S"), F.col("id") % 50)).alias("symbol"), (F.lit(1_704_067_200) + F.when(F.col("id") % 2 == 0, 10_000_000).otherwise(F.col("id"))).alias("created_utc")).repartition(8)
+    names = ["HOT", *[f"S{k}" for k in range(1, 50, 2)]]
+    prices = spark.createDataFrame([(i, s, date(2024, 1, 1), 1.0, date(2020, 1, 1), datetime(2023, 12, 31, tzinfo=UTC)) for i, s in enumerate(names)], "bar_id long, symbol string, day date, volume double, first_trade_date date, known_at timestamp")
+    n, plan = run_plan(pointintime.as_known(m, prices))
+    assert n == 40_000 and "skew=true" in plan
+
+
+def test_a_hot_message_splits_the_join(spark, tight):
+    c = spark.range(40_000).select(F.col("id").alias("row_id"), F.when(F.col("id") % 2 == 0, "hot").otherwise(F.concat(F.lit("c"), F.col("id") % 15_000)).alias("id"), F.timestamp_seconds("id").alias("received_at")).repartition(8)
+    n, plan = run_plan(redelivery.repeats(c))
+    assert n == 40_000 - 1 - 7_500 and "skew=true" in plan
+
+
+def test_seen_grows_without_losing_entries():
+    import numpy as np
+
+    r = np.random.default_rng(7)
+    seen, parts = redelivery.Seen(room=64), [r.integers(0, 1 << 63, 500).astype(np.uint64) for _ in range(6)]
+    for b, h in enumerate(parts):
+        seen.close(b, h)
+    assert len(seen.all) > 4
+    for b, h in enumerate(parts):
+        assert dict((bucket, at.size) for at, bucket in seen.matches(h))[b] == 500
+    fresh = r.integers(0, 1 << 63, 20_000).astype(np.uint64)
+    assert len(np.unique(np.concatenate([at for at, _ in seen.matches(fresh)] or [np.zeros(0)]))) < 400

@@ -2,8 +2,8 @@
 
 Parent and child keys are tagged and united in long form, grouped by key with one flag per parent table, and only the
 groups that lack a flag for some child are kept. A hot key costs nothing there: the aggregation combines on the map
-side. Rows come back by an equi-join of the slim references (row, key, time) with those groups, one row per key, which
-AQE splits where a missing key is hot.
+side. The kept groups are written once; rows come back by an equi-join of the slim references (row, key, time) with
+them, one row per key. As each side of that join has an exchange of its own, AQE splits it where a missing key is hot.
 
 Cases: null, empty and blank keys are no references; a reference without receipt time is never late; target rows
 without receipt time count as there from the start; repeated rows on either side change nothing but the number of
@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewake.functions.keys import key_kind, norm_key
+from tidewake.session import materialise
 
 #: Received "always": earlier than any time stamp.
 ALWAYS = -(1 << 62)
@@ -71,7 +72,7 @@ def orphan_keys(refs: DataFrame, comments: DataFrame, posts: DataFrame, threads:
 def orphan_references(comments: DataFrame, posts: DataFrame, threads: DataFrame, removals: DataFrame) -> DataFrame:
     """``row_id, ref_field, state, created_utc`` of every reference whose key finds no record received by then."""
     refs = references(comments)
-    keys = orphan_keys(refs, comments, posts, threads, removals)
+    keys = materialise(orphan_keys(refs, comments, posts, threads, removals))
     kind = F.col("kind")
     first = F.when(kind == "t1", F.col("t1_first")).when(kind == "t3", F.col("t3_first")).otherwise(F.least("t1_first", "t3_first"))
     gone = F.when(kind == "t1", F.col("t1_gone")).when(kind == "t3", F.col("t3_gone")).otherwise(F.col("t1_gone") | F.col("t3_gone"))

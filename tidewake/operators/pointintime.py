@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewake.functions.keys import norm_symbol
+from tidewake.session import materialise
 
 #: Seconds of a time bucket.
 BUCKET = 86_400
@@ -66,7 +67,8 @@ def as_known(mentions: DataFrame, prices: DataFrame, bucket: int = BUCKET) -> Da
         .where("sym is not null and t is not null")
         .withColumn("tb", F.least(F.floor(F.col("t") / bucket), F.lit(last)))
     )
-    return events.join(validity(points, last, bucket), ["sym", "tb"]).where("t >= valid_from and t < valid_to").select("mention_id", "bar_id")
+    # written once, so that the join has an exchange of its own on either side and a hot symbol's bucket can be split
+    return events.join(materialise(validity(points, last, bucket)), ["sym", "tb"]).where("t >= valid_from and t < valid_to").select("mention_id", "bar_id")
 
 
 def with_attributes(mentions: DataFrame, prices: DataFrame) -> DataFrame:

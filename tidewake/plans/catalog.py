@@ -6,7 +6,6 @@ its price the bar) and the discussion tables (comments, posts, threads, mentions
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from datetime import date
 
@@ -19,7 +18,7 @@ from tidewake.functions.text import clean_company_name
 from tidewake.operators import bars, mentions, panel, retention, stack, threads
 from tidewake.plans import crawl
 from tidewake.schemas import COMMENT_TAGGED
-from tidewake.session import shared_dir
+from tidewake.session import scratch
 from tidewake.session import table as t
 from tidewake.sources import archive, bulk, manifest, pages
 from tidewake.streaming import attention
@@ -251,7 +250,7 @@ def archive_months(s: SparkSession, d: str) -> DataFrame:
 
 def archive_roundtrip(s: SparkSession, d: str) -> DataFrame:
     """Comments stored as compressed JSON by month and read back."""
-    root = f"{shared_dir(s)}/archive-{uuid.uuid4().hex}"
+    root = scratch(s, "archive")
     archive.append(retention.project(t(s, d, "comments").where("created_utc is not null")), root, "comments")
     return archive.read(s, root, "comments", COMMENT_TAGGED).select("month", *COMMENT_TAGGED.fieldNames())
 
@@ -379,7 +378,7 @@ def crowded_seconds(s: SparkSession, d: str) -> DataFrame:
 def stream_daily_authors(s: SparkSession, d: str) -> DataFrame:
     """Mentions as a stream of files, each batch stored as pairs; distinct authors by symbol and day of all batches."""
     src = t(s, d, "mentions")
-    out = f"{shared_dir(s)}/stream-{uuid.uuid4().hex}"
+    out = scratch(s, "stream")
     attention.store_pairs(attention.files(s, f"{d}/mentions.parquet", src.schema).where("created_utc is not null"), f"{out}/data", f"{out}/state").awaitTermination()
     return attention.stored_daily_authors(s, f"{out}/data")
 

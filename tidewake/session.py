@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,22 +35,47 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
+#: Folders written between steps by this process, deleted when it ends.
+_WRITTEN: dict[str, SparkSession] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` of the session, else one of our own (single machine only)."""
+    """The folder all executors share, ``spark.checkpoint.dir`` of the session; on a single machine one of our own if unset."""
     d = spark.conf.get("spark.checkpoint.dir", "") or ""
     if not d:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         d = "file://" + os.path.join(os.environ.get("TMPDIR", "/tmp"), "tidewake-shared")
         spark.conf.set("spark.checkpoint.dir", d)
     return d
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write ``df`` once to the shared folder and read it back.
+def scratch(spark: SparkSession, name: str = "step") -> str:
+    """A new folder of this process in the shared one."""
+    path = f"{shared_dir(spark)}/tidewake-{name}-{uuid.uuid4().hex}"
+    _WRITTEN[path] = spark
+    return path
+
+
+@atexit.register
+def clean_up() -> None:
+    """Delete what this process wrote between steps; results still to be computed from it are lost."""
+    while _WRITTEN:
+        path, spark = _WRITTEN.popitem()
+        try:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        except Exception:  # the session is gone, and with it the way to the folder
+            return
+
+
+def materialise(df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Cut the lineage: write ``df`` once to the shared folder, in folders of equal ``by``, and read it back.
 
     Executors may be lost afterwards without recomputing what led here. The schema is kept as it is.
     """
-    path = f"{shared_dir(df.sparkSession)}/tidewake-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = scratch(df.sparkSession)
+    df.write.partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
