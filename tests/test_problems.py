@@ -81,6 +81,19 @@ def test_drift_records_hold_every_field_in_its_union_type(spark):
     assert drift.records(archive(spark, [])).count() == 0
 
 
+def test_fields_of_one_class_are_not_the_same_content(spark, rows):
+    import random
+
+    r = random.Random(4)
+    a = [{"id": f"k{i:05x}", "stickied": i % 2 == 0, "ups": int(r.lognormvariate(3, 1.2)), "tags": [{"a": i}], **({"edited_at": 1_700_000_000 + i} if i % 5 == 0 else {})} for i in range(20)]
+    b = [{"id": f"k{i:05x}q", "is_submitter": i % 2 == 1, "depth": i % 4, "awards": [{"b": i + 100}], "created_utc": 1_700_100_000 + i} for i in range(20)]
+    got = rows(drift.changes(archive(spark, [a, b])).select("change", "old_field", "new_field"))
+    assert got == sorted([*[("removed", x, "") for x in ("stickied", "ups", "tags", "edited_at")], *[("added", "", x) for x in ("is_submitter", "depth", "awards", "created_utc")]], key=repr)
+    c = [{"id": f"k{i:05x}z", "points": int(r.lognormvariate(3, 1.2)), "Stickied": i % 2 == 0} for i in range(20)]
+    got = rows(drift.changes(archive(spark, [a, c])).select("change", "old_field", "new_field"))
+    assert ("renamed", "ups", "points") in got and ("renamed", "stickied", "Stickied") in got
+
+
 # --- orphans
 
 

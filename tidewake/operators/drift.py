@@ -3,8 +3,9 @@
 1. Header of every file, in parallel: which top-level names its JSON records use, the JSON types of their values and a
    constant-size profile of their content (classes, lengths, numbers, min-hash). One shuffle, combined on the map side.
 2. Every file is laid beside the preceding file of its feed by one aggregation over (feed, file, name).
-3. A name that went and a name that came are one renamed field if their profiles agree: same class of content and
-   shared values, or the same shape where values are all different. Best pairs first; a name is used once.
+3. A name that went and a name that came are one renamed field if their content agrees: shared values, or the same
+   shape where values are all different, or numbers that may come from one distribution, or times that fill as much of
+   their files. That both are flags, or both are nested, is no evidence. Best pairs first; a name is used once.
 4. Types are folded through a promotion lattice and records cast to the union schema, names resolved along renames.
 
 Cases: null or unreadable payloads and those that are no object have no names; a file without any readable record is
@@ -28,6 +29,10 @@ from tidewake.session import materialise
 
 #: Min-hash functions of a profile; the least score of a renamed pair.
 HASHES, LEAST = 32, 0.5
+#: Standard errors by which two samples of one distribution may differ.
+SIGMAS = 4.5
+#: JSON types, each a bit of a set.
+TYPES = ("array", "boolean", "integer", "number", "object", "string")
 CLASSES = ("time", "num", "bool", "struct", "word", "text")
 
 #: Promotion lattice: the least type that holds both. A type is below ``string``; whatever else meets is kept as JSON.
@@ -58,14 +63,16 @@ def values(lines: DataFrame) -> DataFrame:
         .when(t.startswith("ARRAY"), "array")
         .when(t.startswith("OBJECT"), "object")
     )
-    c = F.col("content")
-    number = c.rlike(r"^-?\d{1,18}(?:\.\d+)?(?:[eE][+-]?\d+)?$")
-    epoch = number & c.try_cast("double").between(9e8, 4.2e9) | number & c.try_cast("double").between(9e11, 4.2e12)
+    c, x = F.col("content"), F.col("content").try_cast("double")
+    # only text that begins like a number or a date needs to be matched against their forms
+    digits = (F.col("type") == "integer") | (F.col("type") == "number")
+    like = digits | (c >= "-") & (c < ":")
+    number = F.when(digits, F.length(c) <= 24).otherwise(c.rlike(r"^-?\d{1,18}(?:\.\d+)?(?:[eE][+-]?\d+)?$"))
     kinds = (
         F.when(F.col("type") == "boolean", "bool")
         .when(t.startswith("ARRAY<OBJECT") | (t == "ARRAY<VOID>"), "struct")
-        .when(epoch | c.rlike(r"^\d{4}-\d\d-\d\d(?:[T ]\d\d:\d\d|$)"), "time")
-        .when(number, "num")
+        .when(like & number, F.when(x.between(9e8, 4.2e9) | x.between(9e11, 4.2e12), "time").otherwise("num"))
+        .when(like & c.rlike(r"^\d{4}-\d\d-\d\d(?:[T ]\d\d:\d\d|$)"), "time")
         .when(c.rlike(r"\s"), "text")
         .when(c.isNotNull(), "word")
     )
@@ -82,19 +89,27 @@ def leaves(value: Column, t: Column) -> Column:
 
 
 def headers(lines: DataFrame) -> DataFrame:
-    """Per file and name the set of types and the profile of the content."""
-    c, x = F.col("content"), F.when(F.col("class") == "num", F.col("content").try_cast("double"))
-    size = F.greatest(F.length(c), F.lit(1))
-
-    def share(chars: str) -> Column:
-        return F.avg((F.length(c) - F.length(F.translate(c, chars, ""))) / size)
+    """Per file and name the set of types and the profile of the content.
 
+    Every part of it has a fixed width, so that the aggregation stays in compiled code; a value is hashed once, and its
+    min-hashes are made from that hash.
+    """
+    x = F.when(F.col("class") == "num", F.col("content").try_cast("double"))
+    kept = F.struct(F.col("type"), F.col("class"), F.length("content").alias("long"), F.xxhash64("content").alias("h"), x.alias("x"), *[(F.length("content") - F.length(F.translate("content", chars, ""))).alias(name) for name, chars in (("digits", "0123456789"), ("joints", "_-"))])
+    # a generator is a barrier to the merging of projections: what it yields is computed once a row, not at every use
+    one = values(lines).select("feed", "file_seq", "file_name", "name", F.inline(F.array(kept)))
+    there, size, log = F.col("long").isNotNull(), F.greatest("long", F.lit(1)), F.log1p(F.abs("x"))
+    bits = F.coalesce(*[F.when(F.col("type") == t, 1 << i) for i, t in enumerate(TYPES)])
     profile = F.struct(
-        F.count(c).alias("n"), F.avg(F.length(c)).alias("length"), share("0123456789").alias("digits"), share("_-").alias("joints"),
-        F.array(*[F.count_if(F.col("class") == k) for k in CLASSES]).alias("classes"), F.sqrt(F.avg(x * x)).alias("size"),
-        F.array(*[F.min(F.when(c.isNotNull(), F.hash(F.lit(i), c))) for i in range(HASHES)]).alias("mins"),
+        F.count("long").alias("n"), F.count(F.lit(1)).alias("met"), F.avg("long").alias("length"), F.avg(F.col("digits") / size).alias("digits"), F.avg(F.col("joints") / size).alias("joints"),
+        F.array(*[F.count_if(F.col("class") == k) for k in CLASSES]).alias("classes"), F.avg(log).alias("log"), F.avg(log * log).alias("log2"), F.avg((F.col("x") < 0).cast("double")).alias("below"),
+        F.array(*[F.min(F.when(there, F.hash(F.lit(i), "h"))) for i in range(HASHES)]).alias("mins"),
     )
-    return values(lines).groupBy("feed", "file_seq", "file_name", "name").agg(F.array_sort(F.collect_set("type")).alias("types"), profile.alias("profile"))
+    found = one.groupBy("feed", "file_seq", "file_name", "name").agg(F.coalesce(F.bit_or(bits), F.lit(0)).alias("bits"), profile.alias("profile"))
+    types = F.filter(F.array(*[F.when(F.col("bits").bitwiseAND(1 << i) != 0, t) for i, t in enumerate(TYPES)]), lambda t: t.isNotNull())
+    # a file has as many records as the name most of them hold
+    records = F.max("profile.met").over(Window.partitionBy("feed", "file_seq", "file_name"))
+    return found.select("feed", "file_seq", "file_name", "name", types.alias("types"), F.col("profile").withField("records", records).alias("profile"))
 
 
 def distinct(mins: list[int]) -> float:
@@ -103,6 +118,11 @@ def distinct(mins: list[int]) -> float:
     return 1 / max(mean, 1e-18) - 1
 
 
+def differ(a: float, b: float, n: int, m: int, va: float, vb: float) -> float:
+    """By how many standard errors the means of two samples differ; one more value of unit variance keeps small ones from being sure."""
+    return abs(a - b) / math.sqrt((max(va, 0.0) * n + 1) / (n + 1) / n + (max(vb, 0.0) * m + 1) / (m + 1) / m)
+
+
 def alike(a: dict[str, Any], b: dict[str, Any]) -> float:
     """How far two profiles describe the same content, 0 to 1."""
     if not a["n"] or not b["n"]:
@@ -113,12 +133,14 @@ def alike(a: dict[str, Any], b: dict[str, Any]) -> float:
     shared = sum(x == y for x, y in zip(a["mins"], b["mins"])) / HASHES
     kind = CLASSES[top[0]]
     if kind == "time":
-        return 0.9
+        # the same moments are in no two files; how many records hold one goes on
+        parts = [p["n"] / p["records"] for p in (a, b)]
+        return 0.9 if differ(parts[0], parts[1], a["records"], b["records"], *(q * (1 - q) for q in parts)) < SIGMAS or abs(parts[0] - parts[1]) < 0.25 else 0.3
     if kind in ("bool", "struct"):
-        return 0.6 + 0.3 * shared
+        return 0.6 + 0.3 * shared if kind == "struct" and shared >= 0.18 else 0.3
     if kind == "num":
-        off = abs(math.log((a["size"] + 0.5) / (b["size"] + 0.5)))
-        return 0.8 - 0.2 * off
+        z = [differ(a[k], b[k], a["n"], b["n"], va, vb) for k, va, vb in (("log", a["log2"] - a["log"] ** 2, b["log2"] - b["log"] ** 2), ("below", a["below"] * (1 - a["below"]), b["below"] * (1 - b["below"])))]
+        return 0.8 - 0.05 * min(max(z), SIGMAS) if max(z) < SIGMAS else 0.0
     various = [distinct(p["mins"]) / p["n"] for p in (a, b)]
     off = abs(math.log(max(a["length"], 1) / max(b["length"], 1)))
     if shared >= 0.18:
