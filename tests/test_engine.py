@@ -292,6 +292,85 @@ def test_ingest_csv(spark, tmp_path):
     assert set(got) == {"a", "src:5"} and got["a"].body == "two\nlines" and got["a"].score == 5 and got["src:5"].score is None and "�" in got["src:5"].body
 
 
+def test_rows_are_numbered_and_deduplicated_by_file(spark, tmp_path):
+    for name in "ab":
+        (tmp_path / f"{name}.csv").write_text("id,created_utc,body\n" + ("y,1704067200,first\n" if name == "b" else "") + "x,1704067200,one\n,1704067200,two\nx,1704067200,three\n")
+    done = bulk.classify(bulk.normalise(bulk.scan(spark, str(tmp_path)), "s"))
+    got = {(r["_file"][-5:], r["_row"]): (r.id, r.reason) for r in done.collect()}
+    assert got == {("a.csv", 0): ("x", "written"), ("a.csv", 1): ("s:1", "written"), ("a.csv", 2): ("x", "duplicate"), ("b.csv", 0): ("y", "written"), ("b.csv", 1): ("x", "written"), ("b.csv", 2): ("s:2", "written"), ("b.csv", 3): ("x", "duplicate")}
+    assert {(r["_file"][-5:], r["read"], r.duplicate) for r in bulk.ingest_report(done, ("_file",)).collect()} == {("a.csv", 3, 1), ("b.csv", 4, 1)}
+
+
+CORPUS = [{"id": f"k{i}", "created_utc": 100 + i // 3, "body": "x"} for i in range(700)] + [{"id": f"c{i}", "created_utc": 400, "body": "x"} for i in range(260)]
+
+
+def answer(params):
+    """One request to the corpus above, as a source answers it."""
+    from tidewake.sources.pacing import Answer
+
+    hit = sorted((r for r in CORPUS if params["after"] < r["created_utc"] < params["before"]), key=lambda r: (r["created_utc"], r["id"]), reverse=params["sort"] == "desc")
+    return Answer(200, hit[: params["limit"]])
+
+
+def test_search_follows_the_cursor(spark, monkeypatch):
+    from tidewake.sources import pacing, search
+
+    lost = []
+    got = [r["id"] for r in search.walk(lambda p: answer(p).body, {}, 0, 1000, lost=lost.append)]
+    assert len(got) == len(set(got)) == 900 and lost == [400]  # of the crowded second both ends, 200 of 260
+    assert {f"k{i}" for i in range(700)} <= set(got)
+    assert [r["id"] for r in search.walk(lambda p: answer(p).body, {}, 0, 1000, limit=5)] == ["k0", "k1", "k2", "k3", "k4"]
+    assert list(search.walk(lambda p: [], {}, 0, 10)) == []
+    monkeypatch.setattr(pacing, "REQUESTS", None)
+    windows = search._Windows(spark.createDataFrame([], "id string, created_utc long").schema, {"fetch": "x:y", "after": "0", "before": "300", "windows": "4"}).partitions()
+    assert [(w.after, w.before) for w in windows] == [(0, 76), (75, 151), (150, 226), (225, 300)]
+    both = [r["id"] for w in windows for r in search.walk(lambda p: answer(p).body, {}, w.after, w.before)]
+    assert sorted(both) == sorted(r["id"] for r in CORPUS if 0 < r["created_utc"] < 300)
+    spark.dataSource.register(search.Search)
+    few = spark.read.format("search").options(fetch="tests.test_engine:answer", after=100, before=103).load()
+    assert few.select("id").count() == 6
+    with pytest.raises(pacing.MissingCredentials, match="NO_SUCH_KEY"):
+        search.credentials("NO_SUCH_KEY")
+
+
+def test_cached_text_is_fetched_once(tmp_path):
+    from tidewake.sources.search import cached
+
+    seen = []
+    for refresh in (False, False, True):
+        assert cached(str(tmp_path / "a" / "x.json"), lambda: seen.append(1) or f"v{len(seen)}", refresh) == f"v{1 + refresh}"
+
+
+def test_listings_and_frequencies(spark, tmp_path):
+    from tidewake.sources import listings
+
+    (tmp_path / "n.txt").write_text("Symbol|Security Name|Test Issue|ETF\nGME|Other Name|N|N\nSPY|Fund|N|Y\nZZT|t|Y|N\nFile Creation Time: 1|||\n")
+    (tmp_path / "o.txt").write_text("ACT Symbol|Security Name|ETF|Test Issue\nIBM|Big Corp. Common Stock|N|N\n")
+    (tmp_path / "s.json").write_text(json.dumps({"0": {"ticker": "gme", "title": "GAMESTOP CORP."}}))
+    u = mentions.build_universe(listings.listings(listings.json_listing(spark, str(tmp_path / "s.json"), 0), listings.pipe_listing(spark, str(tmp_path / "n.txt"), 1), listings.pipe_listing(spark, str(tmp_path / "o.txt"), 2)))
+    assert {(r.symbol, r.name, r.is_etf) for r in u.collect()} == {("GME", "gamestop", False), ("SPY", "fund", True), ("IBM", "big", False)}
+    (tmp_path / "w.tsv").write_text("the\t7.7\n\"odd\t1.0\nbad\n")
+    assert {tuple(r) for r in listings.word_frequencies(spark, str(tmp_path / "w.tsv")).collect()} == {("the", 7.7), ('"odd', 1.0)}
+    assert {tuple(r) for r in listings.zipf_of(spark.createDataFrame([("a", 1), ("b", 9)], "word string, n long")).selectExpr("word", "round(zipf, 6)").collect()} == {("a", 8.0), ("b", 8.954243)}
+
+
+def test_price_outcomes_are_cached_but_errors_are_not(spark):
+    s = "symbol string, payload string, error string"
+    asked = spark.createDataFrame([("A",), ("B",), ("C",), ("D",), ("E",)], "symbol string")
+    cache = spark.createDataFrame([("A", "old", None), ("B", None, None)], s)
+    fetched = spark.createDataFrame([("A", "new", None), ("C", None, "timeout"), ("D", None, None)], s)
+    out = bars.fetch_outcomes(asked, cache, fetched)
+    assert {tuple(r) for r in out.collect()} == {("A", "new", "ok"), ("B", None, "no_data"), ("C", None, "error"), ("D", None, "no_data"), ("E", None, "error")}
+    assert {tuple(r) for r in bars.cacheable(out).collect()} == {("A", "new"), ("B", None), ("D", None)}
+    assert {tuple(r) for r in bars.status_lists(out).collect()} == {("ok", "A"), ("no_data", "B,D"), ("error", "C,E")}
+
+
+def test_ranked_collection_is_capped_before_withdrawn_ones_are_dropped(spark):
+    raw = spark.createDataFrame([(3, "c", "u", "x"), (1, "a", None, "x"), (2, "b", "u", "[deleted]")], "rank int, id string, author string, body string")
+    assert [(r.id, r.author) for r in pages.collect_ranked(raw, "t", "daily", "s", 2).collect()] == [("a", "[deleted]")]
+    assert pages.collect_ranked(raw, "t", "daily", "s").count() == 2
+
+
 def test_pages(spark, tmp_path):
     (tmp_path / "p1.jsonl").write_text("\n".join(json.dumps({"id": f"k{i}", "created_utc": i, "body": "x", "link_id": "t3_a" if i % 2 else "t3_b"}) for i in range(10)) + "\n\n")
     (tmp_path / "p2.jsonl").write_text("\n".join(json.dumps({"id": f"k{i}", "created_utc": i, "body": "x"}) for i in range(8, 15)))
@@ -310,8 +389,16 @@ def test_crawl_plans(spark, tmp_path):
     found = spark.createDataFrame([("a", "Daily Discussion Thread x", 1), ("a", "Daily discussion thread x", 2), ("b", "my trade", 3)], "id string, title string, created_utc long")
     assert [(r.id, r.created_utc) for r in crawl.discover_threads(found).collect()] == [("a", 2)]
     book = Manifest(spark, str(tmp_path / "m"))
-    posts = spark.createDataFrame([("a", 1_704_067_200, "t", "[removed]", 1), ("b", 1_704_067_200, "t", "ok", 1)], "id string, created_utc long, title string, selftext string, media int")
-    assert crawl.store_posts(posts, book, str(tmp_path), "s", "u") == 1 and crawl.store_posts(posts, book, str(tmp_path), "s", "u") == 0
+    posts = spark.createDataFrame([("a", 1_704_067_200, "t", "[removed]", "s", 1), ("b", 1_704_067_200, "t", "ok", "s", 1), ("c", 1_704_153_600, "t", "ok", "s", 1)], "id string, created_utc long, title string, selftext string, subreddit string, media int")
+    units = crawl.post_units(spark, ["s", "quiet"], D0, D0 + timedelta(1))
+    assert crawl.store_posts(posts, book, str(tmp_path), units) == 1 and crawl.store_posts(posts, book, str(tmp_path), units) == 0
+    assert {(r.unit_key, r.record_count) for r in book.completed().collect()} == {("posts:s:2024-01-01", 1), ("posts:quiet:2024-01-01", 0)}
+    which = spark.createDataFrame([("T1", "daily", "s"), ("t2", "daily", "s")], "id string, thread_type string, subreddit string")
+    c = spark.createDataFrame([(f"k{i}", 1_704_067_200 + i, "x", "t3_t1" if i < 5 else "T3_T2") for i in range(7)], "id string, created_utc long, body string, link_id string")
+    assert crawl.store_comments(c, which, book, str(tmp_path), 3) == 5 and crawl.store_comments(c, which, book, str(tmp_path), 3) == 0
+    assert archive.read(spark, str(tmp_path), "comments", COMMENT_TAGGED).count() == 5 and [(r.unit_key, r.kind) for r in book.issues().collect()] == [("thread:T1", "truncated")]
+    book.compact()
+    assert book.completed().count() == 4 and book.is_done("thread:t2")
 
 
 def test_command_line(spark, tmp_path, capsys):
@@ -327,8 +414,14 @@ def test_command_line(spark, tmp_path, capsys):
     comments.write_text("\n".join(json.dumps({"id": f"k{i}", "created_utc": 1_704_067_200 + i, "body": "x" if i else "[removed]", "link_id": "t3_a"}) for i in range(5)))
     assert crawl.main(["comments", "--data-dir", d, "--pages", str(comments), "--max-comments", "3"]) == 0
     assert archive.read(spark, f"{d}/raw", "comments", COMMENT_TAGGED).count() == 2
-    src = tmp_path / "b.csv"
-    src.write_text("id,created_utc,body\na,1704067200,x\n")
+    assert crawl.main(["comments", "--data-dir", d, "--pages", str(comments), "--max-comments", "3"]) == 0
+    assert archive.read(spark, f"{d}/raw", "comments", COMMENT_TAGGED).count() == 2  # nothing is stored twice
+    src = tmp_path / "bulk"
+    src.mkdir()
+    assert crawl.main(["load", "--data-dir", d, "--pages", str(src)]) == 1
+    (src / "b.csv").write_text("id,created_utc,body\na,1704067200,x\n")
+    (src / "c.csv").write_text("id,nothing\na,b\n")
+    (src / "notes.txt").write_text("x")
     assert crawl.main(["load", "--data-dir", d, "--pages", str(src)]) == 0 and spark.read.json(f"{d}/reports").head().written == 1
     assert crawl.main(["posts", "--data-dir", d, "--subreddits", "a", "--start", "2024-01-01", "--end", "2024-01-03", "--limit-units", "1"]) == 0
     assert crawl.main(["threads", "--data-dir", d]) == 0

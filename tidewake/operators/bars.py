@@ -42,6 +42,29 @@ def price_status(requested: DataFrame, bars: DataFrame, errors: DataFrame | None
     return out.select("symbol", F.when(F.col("ok"), "ok").when(F.col("err"), "error").otherwise("no_data").alias("status"))
 
 
+def status_lists(status: DataFrame) -> DataFrame:
+    """``status, symbols``: the symbols of each outcome, sorted (the universe of symbols bounds a list)."""
+    return status.groupBy("status").agg(F.array_join(F.array_sort(F.collect_set("symbol")), ",").alias("symbols"))
+
+
+def fetch_outcomes(requested: DataFrame, cache: DataFrame, fetched: DataFrame) -> DataFrame:
+    """``symbol, payload, status`` of every symbol asked for, from what is cached and what was fetched now.
+
+    ``cache`` and ``fetched`` hold ``symbol, payload, error``; a payload counts before its lack, what is fetched before
+    what is cached. A fetch without payload and without error is ``no_data`` and may be cached (``cacheable``); errors
+    never are, so that they are tried again.
+    """
+    both = cache.select("symbol", "payload", F.lit(None).cast("string").alias("error"), F.lit(0).alias("now")).unionByName(fetched.select("symbol", "payload", "error", F.lit(1).alias("now")))
+    best = both.groupBy("symbol").agg(F.max_by(F.struct("payload", "error"), F.struct(F.col("payload").isNotNull(), F.col("error").isNull(), "now")).alias("r"))
+    known = requested.select("symbol").distinct().join(best, "symbol", "left")
+    return known.select("symbol", "r.payload", F.when(F.col("r.payload").isNotNull(), "ok").when(F.col("r").isNull() | F.col("r.error").isNotNull(), "error").otherwise("no_data").alias("status"))
+
+
+def cacheable(outcomes: DataFrame) -> DataFrame:
+    """What to keep for the next run: ``symbol, payload``, null where there is known to be nothing."""
+    return outcomes.where("status <> 'error'").select("symbol", "payload")
+
+
 def price_report(status: DataFrame) -> DataFrame:
     """Counts by status; failed fetches are not held against the share that can't be priced."""
     n = {s: F.count_if(F.col("status") == s) for s in ("ok", "no_data", "error")}

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import argparse
 import sys
+import time
 from datetime import date
 
 from pyspark.errors import AnalysisException
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewake.functions.calendars import day_range, month_windows
-from tidewake.functions.keys import key_kind, norm_key
+from tidewake.functions.keys import day_of, key_kind, norm_key
 from tidewake.operators import retention, threads
 from tidewake.schemas import COMMENT, POST, THREAD
 from tidewake.session import build_session, materialise
@@ -34,13 +35,34 @@ def discovery_units(spark: SparkSession, authors: list[str], start: date, end: d
     return month_windows(spark, start, end, months).withColumn("author", F.explode(F.array(*[F.lit(a) for a in authors]).cast("array<string>")))
 
 
-def store_posts(pages: DataFrame, manifest: Manifest, root: str, subreddit: str, unit_key: str) -> int:
-    """One unit's pages into the archive, then marked done; a unit marked before is left alone."""
-    if manifest.is_done(unit_key):
-        return 0
-    kept = retention.live(retention.project(paginate(pages), "post")).withColumn("_subreddit", F.lit(subreddit))
-    n = archive.append(kept, root, f"posts/{subreddit}")
-    manifest.mark_done(unit_key, "posts", n)
+def store_posts(pages: DataFrame, book: Manifest, root: str, units: DataFrame) -> int:
+    """The pages of all pending units (by subreddit and day) into the archive in one pass, and the units marked done.
+
+    Units done before are left alone, so that a second run stores nothing twice; a unit without posts is done with 0.
+    """
+    todo = materialise(pending(units, book.completed()))
+    day = day_of(F.col("created_utc"))
+    found = paginate(pages).withColumn("day", day).join(todo, ["subreddit", "day"])
+    kept = materialise(retention.live(retention.project(found.withColumn("_unit", F.col("unit_key")), "post")))
+    n = 0
+    for subreddit in [r["subreddit"] for r in todo.select("subreddit").distinct().collect()]:
+        n += archive.append(kept.where(F.col("subreddit") == subreddit).drop("_unit").withColumn("_subreddit", F.lit(subreddit)), root, f"posts/{subreddit}")
+    count = kept.groupBy(F.col("_unit").alias("unit_key")).agg(F.count(F.lit(1)).alias("n"))
+    book.mark_all(todo.join(count, "unit_key", "left").select("unit_key", F.coalesce("n", F.lit(0)).alias("record_count")), "posts")
+    return n
+
+
+def store_comments(comments: DataFrame, which: DataFrame, book: Manifest, root: str, cap: int | None = None) -> int:
+    """The comments of all pending threads into the archive in one pass; threads marked done, capped ones noted as truncated."""
+    units = which.withColumn("unit_key", F.concat(F.lit("thread:"), "id"))
+    todo = materialise(pending(units, book.completed()))
+    kept = materialise(comments_of_threads(retention.project(comments.withColumn("_n", F.monotonically_increasing_id())), todo, cap, ("created_utc", "_n")).drop("_n"))
+    n = archive.append(kept, root, "comments")
+    count = kept.groupBy(F.col("_thread_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    done = materialise(todo.join(count, "id", "left").select("unit_key", F.coalesce("n", F.lit(0)).alias("record_count")))
+    if cap is not None:
+        book.note_all(done.where(F.col("record_count") >= cap).select("unit_key", F.lit("truncated").alias("kind"), F.concat(F.lit("capped at "), F.lit(cap)).alias("detail")))
+    book.mark_all(done, "comments")
     return n
 
 
@@ -54,14 +76,15 @@ def add_threads(spark: SparkSession, found: DataFrame, path: str) -> DataFrame:
     """Merge threads into the stored list (what is found replaces what has the same id), one per day and type."""
     try:
         found = threads.merge_last(spark.read.schema(THREAD).json(path), found)
-    except AnalysisException:  # no list yet
-        pass
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):  # else there is no list yet
+            raise
     kept = materialise(threads.dedupe_threads(found))  # the list can't be read and replaced at once
     kept.write.mode("overwrite").json(path)
     return kept
 
 
-def comments_of_threads(comments: DataFrame, which: DataFrame, cap: int | None = None) -> DataFrame:
+def comments_of_threads(comments: DataFrame, which: DataFrame, cap: int | None = None, order: tuple[str, ...] = ("created_utc", "row_id")) -> DataFrame:
     """All threads' comments in one pass: their thread's tags, the earliest ``cap`` of each, withdrawn ones left out.
 
     Keys meet however they are spelled; a thread is no comment, so that a key of kind t1 names none.
@@ -70,7 +93,7 @@ def comments_of_threads(comments: DataFrame, which: DataFrame, cap: int | None =
     slim = comments.drop("_thread_id", "_thread_type", "_subreddit")
     link = F.when(F.coalesce(key_kind(F.col("link_id")), F.lit("t3")) == "t3", norm_key(F.col("link_id")))
     out = slim.withColumn("_key", link).join(tags, "_key")
-    return retention.live(out if cap is None else threads.cap_per_thread(out, cap, "_key")).drop("_key")
+    return retention.live(out if cap is None else threads.cap_per_thread(out, cap, "_key", order)).drop("_key")
 
 
 def crawl_stats(units: DataFrame) -> DataFrame:
@@ -94,8 +117,12 @@ def main(argv: list[str] | None = None) -> int:
     spark = build_session("tidewake-crawl")
     book, root = Manifest(spark, f"{a.data_dir}/manifest"), f"{a.data_dir}/raw"
     if a.stage == "posts":
-        todo = pending(post_units(spark, a.subreddits, a.start, a.end), book.completed()).orderBy("unit_key")
-        (todo.limit(a.limit_units) if a.limit_units else todo).show(truncate=False)
+        units = pending(post_units(spark, a.subreddits, a.start, a.end), book.completed()).orderBy("unit_key")
+        units = units.limit(a.limit_units) if a.limit_units else units
+        if a.pages is None:
+            units.show(truncate=False)
+        else:
+            print(f"{store_posts(spark.read.schema(POST).json(a.pages), book, root, units)} posts stored")
     elif a.stage == "discover":
         found = add_threads(spark, discover_threads(spark.read.schema(THREAD).json(a.pages)), f"{a.data_dir}/threads")
         threads.coverage_report(found).show(truncate=False)
@@ -108,12 +135,24 @@ def main(argv: list[str] | None = None) -> int:
             print("no threads yet: run discover first", file=sys.stderr)
             return 2
         which = which if not a.thread_types else which.where(F.col("thread_type").isin(*a.thread_types))
-        n = archive.append(comments_of_threads(spark.read.schema(COMMENT).json(a.pages).withColumn("row_id", F.monotonically_increasing_id()), which, a.max_comments), root, "comments")
-        print(f"{n} comments stored")
+        began = time.monotonic()
+        n = store_comments(spark.read.schema(COMMENT).json(a.pages), which, book, root, a.max_comments)
+        print(f"{n} comments stored in {time.monotonic() - began:.1f} s")
     else:
-        report = materialise(bulk.ingest_csv(spark, a.pages, root, a.source).withColumn("source", F.lit(a.source)))
-        report.coalesce(1).write.mode("append").json(f"{a.data_dir}/reports")
-        report.show(truncate=False)
+        found, others = bulk.files_to_load(spark, a.pages)
+        for name in others:
+            print(f"no CSV file, left alone: {name}", file=sys.stderr)
+        if not found:
+            print(f"no CSV file in {a.pages}", file=sys.stderr)
+            return 1
+        for path in found:
+            try:
+                report = materialise(bulk.ingest_csv(spark, path, root, a.source).withColumn("source", F.lit(a.source)))
+            except bulk.SchemaError as e:
+                print(f"{path}: {e}", file=sys.stderr)
+                continue
+            report.coalesce(1).write.mode("append").json(f"{a.data_dir}/reports")
+            report.show(truncate=False)
     book.issues(10).show(truncate=False)
     book.summary().show(truncate=False)
     return 0

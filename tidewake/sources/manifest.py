@@ -5,10 +5,11 @@ from __future__ import annotations
 from datetime import UTC, datetime
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewake.schemas import DONE, ISSUE
+from tidewake.session import materialise
 
 
 class Manifest:
@@ -20,18 +21,32 @@ class Manifest:
     def _read(self, name: str, schema) -> DataFrame:  # noqa: ANN001
         try:
             return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
-        except AnalysisException:
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
             return self.spark.createDataFrame([], schema)
 
-    def _append(self, name: str, row: tuple, schema) -> None:  # noqa: ANN001
-        self.spark.createDataFrame([row], schema).coalesce(1).write.mode("append").parquet(f"{self.root}/{name}")
+    def mark_all(self, units: DataFrame, track: str) -> None:
+        """Units done (``unit_key, record_count``), however many, as one file."""
+        done = units.select("unit_key", F.lit(track).alias("track"), F.col("record_count").cast("long").alias("record_count"), F.lit(datetime.now(UTC).isoformat()).alias("completed_at"))
+        done.coalesce(1).write.mode("append").parquet(f"{self.root}/completed_units")
 
     def mark_done(self, unit_key: str, track: str, record_count: int) -> None:
-        self._append("completed_units", (unit_key, track, record_count, datetime.now(UTC).isoformat()), DONE)
+        self.mark_all(self.spark.createDataFrame([(unit_key, record_count)], "unit_key string, record_count long"), track)
 
-    def note_issue(self, unit_key: str, kind: str, detail: str = "") -> None:
+    def note_all(self, issues: DataFrame) -> None:
+        """Issues met (``unit_key, kind, detail``), in that order within the batch, as one file."""
         now = datetime.now(UTC)
-        self._append("crawl_issues", (int(now.timestamp() * 1e6), unit_key, kind, detail, now.isoformat()), ISSUE)
+        rank = F.row_number().over(Window.orderBy("unit_key", "kind", "detail")) - 1
+        issues.select((F.lit(int(now.timestamp() * 1e6)) + rank).cast("long").alias("id"), "unit_key", "kind", "detail", F.lit(now.isoformat()).alias("noted_at")).coalesce(1).write.mode("append").parquet(f"{self.root}/crawl_issues")
+
+    def note_issue(self, unit_key: str, kind: str, detail: str = "") -> None:
+        self.note_all(self.spark.createDataFrame([(unit_key, kind, detail)], "unit_key string, kind string, detail string"))
+
+    def compact(self) -> None:
+        """Rewrite the units as one entry each in one file, so that what is read stays in proportion to the units."""
+        kept = materialise(self.completed())
+        kept.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/completed_units")
 
     def completed(self) -> DataFrame:
         return latest(self._read("completed_units", DONE))

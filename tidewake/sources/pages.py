@@ -82,6 +82,12 @@ def api_records(raw: DataFrame, thread_id: str, thread_type: str, subreddit: str
     return out.where(~is_withdrawn(F.col("body")))
 
 
+def collect_ranked(raw: DataFrame, thread_id: str, thread_type: str, subreddit: str, max_comments: int | None = None, rank: str = "rank") -> DataFrame:
+    """A thread's comments as the official source ranks them: the first ``max_comments``, then withdrawn ones left out."""
+    top = raw if max_comments is None else raw.orderBy(rank).limit(max_comments)
+    return api_records(top, thread_id, thread_type, subreddit)
+
+
 def collection_stats(raw: DataFrame) -> DataFrame:
     """``comments`` kept, ``deleted`` left out, and deleted per comment kept."""
     out = raw.agg(F.count_if(~is_withdrawn(F.col("body"))).alias("comments"), F.count_if(is_withdrawn(F.col("body"))).alias("deleted"))
