@@ -20,7 +20,7 @@ from tidewake.plans import crawl
 from tidewake.schemas import COMMENT_TAGGED
 from tidewake.session import scratch
 from tidewake.session import table as t
-from tidewake.sources import archive, bulk, manifest, pages
+from tidewake.sources import archive, bulk, listings, manifest, pages
 from tidewake.streaming import attention
 
 MIN_AUTHORS = 3
@@ -141,6 +141,22 @@ def price_status_report(s: SparkSession, d: str) -> DataFrame:
     return bars.price_report(_status(s, d)).withColumn("unpriceable_share", r8("unpriceable_share"))
 
 
+def price_status_lists(s: SparkSession, d: str) -> DataFrame:
+    return bars.status_lists(_status(s, d))
+
+
+def price_outcomes(s: SparkSession, d: str) -> DataFrame:
+    """Mentioned symbols against a cache (symbols with prices) and a fetch that failed for those with a dot."""
+    asked = t(s, d, "mentions").select(norm_symbol(F.col("symbol")).alias("symbol")).where("symbol is not null")
+    cache = t(s, d, "price_series").select(norm_symbol(F.col("symbol")).alias("symbol")).where("symbol is not null").distinct().select("symbol", F.lit("bars").alias("payload"), F.lit(None).cast("string").alias("error"))
+    fetched = asked.distinct().select("symbol", F.lit(None).cast("string").alias("payload"), F.when(F.contains("symbol", F.lit(".")), "timeout").alias("error"))
+    return bars.fetch_outcomes(asked, cache, fetched)
+
+
+def cache_keys(s: SparkSession, d: str) -> DataFrame:
+    return t(s, d, "mentions").select("mention_id", bars.cache_key(F.col("symbol")).alias("cache_key"))
+
+
 def chart_bars(s: SparkSession, d: str) -> DataFrame:
     """Charts written as a provider writes them, parsed again: one payload per symbol and month."""
     b = _bars(s, d).where("symbol is not null and day is not null").groupBy("symbol", F.trunc("day", "MM").alias("m")).agg(F.array_sort(F.collect_list(F.struct("day", "adj_close", "volume", "first_trade_date"))).alias("b"))
@@ -207,6 +223,20 @@ def symbol_tiers(s: SparkSession, d: str) -> DataFrame:
 NAME_FORMS = (" Inc. Common Stock", " Holdings, Inc.", " PLC - American Depositary Shares", " Trust ETF", " Corp. Class A", "")
 
 
+def listed_universe(s: SparkSession, d: str) -> DataFrame:
+    """The universe of the symbols of prices and mentions, named by their letters; word frequencies are those of the titles."""
+    own = t(s, d, "price_series").select(F.lit(0).alias("priority"), "symbol", F.concat(F.lower("symbol"), F.lit(" Corp. Class A")).alias("name"), F.lit("N").alias("etf"))
+    other = t(s, d, "mentions").select(F.lit(1).alias("priority"), norm_symbol(F.col("symbol")).alias("symbol"), F.lower(norm_symbol(F.col("symbol"))).alias("name"), F.when(norm_symbol(F.col("symbol")).startswith("V"), "Y").alias("etf"))
+    words = t(s, d, "posts").select(F.explode(F.split(F.lower("title"), "[^a-z]+")).alias("word")).where("word <> ''").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    sources = listings.listings(own, other).where("symbol is not null").distinct().withColumn("test", F.lit(None).cast("string"))
+    return mentions.build_universe(sources, listings.zipf_of(words))
+
+
+def mentions_in_order(s: SparkSession, d: str) -> DataFrame:
+    """Each text's mentions in one list, by symbol."""
+    return mentions.mentions_sorted(mentions_best_route(s, d)).select("doc_id", F.array_join(F.transform("mentions", lambda x: F.concat_ws(":", x["symbol"], x["method"])), ",").alias("mentions"))
+
+
 def clean_names(s: SparkSession, d: str) -> DataFrame:
     """Company names cleaned: part names dressed in the forms of listings."""
     forms = F.array(*[F.lit(x) for x in NAME_FORMS])
@@ -275,6 +305,43 @@ def pending_units(s: SparkSession, d: str) -> DataFrame:
 # --- threads -------------------------------------------------------------------------------------------------------
 
 
+def _book(s: SparkSession, d: str) -> manifest.Manifest:
+    """A manifest that holds an issue for each thread with 20 comments and more."""
+    book = manifest.Manifest(s, scratch(s, "manifest"))
+    book.note_all(truncated_threads(s, d).select(F.col("thread").alias("unit_key"), F.lit("truncated").alias("kind"), F.col("n").cast("string").alias("detail")))
+    return book
+
+
+def crawl_issues(s: SparkSession, d: str) -> DataFrame:
+    return _book(s, d).issues().select("unit_key", "kind", "detail")
+
+
+def last_issues(s: SparkSession, d: str) -> DataFrame:
+    return _book(s, d).issues(10).select("unit_key", "kind", "detail")
+
+
+def _archived(s: SparkSession, d: str) -> str:
+    root = scratch(s, "archive")
+    archive.append(retention.project(t(s, d, "comments").where("created_utc is not null")), root, "comments", "parquet")
+    return root
+
+
+def archive_month_list(s: SparkSession, d: str) -> DataFrame:
+    return archive.months(archive.read(s, _archived(s, d), "comments", COMMENT_TAGGED, fmt="parquet"))
+
+
+def archive_purged(s: SparkSession, d: str) -> DataFrame:
+    """The stored comments once the withdrawn ones are purged."""
+    root = _archived(s, d)
+    archive.purge(s, root, "comments", COMMENT_TAGGED, fmt="parquet")
+    return archive.read(s, root, "comments", COMMENT_TAGGED, fmt="parquet").select("month", "id", "created_utc", "body")
+
+
+def api_records(s: SparkSession, d: str) -> DataFrame:
+    raw = t(s, d, "comments").where("_source = 'api'").select("row_id", "id", "author", "body", "created_utc", "score")
+    return pages.api_records(raw, "th", "daily", "s")
+
+
 def thread_classify(s: SparkSession, d: str) -> DataFrame:
     return t(s, d, "threads").select("id", threads.classify_thread(F.col("title"), TITLES).alias("kind"))
 
@@ -387,9 +454,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         attention_panel, rolling_zscore, attention_events, event_paths, event_stack, event_stack_size, event_drift_verdict,
-        latest_bars, bar_returns, window_returns, forward_return, dollar_volume_bucket, listing_flags, price_status, price_status_report, chart_bars, symbol_event_stack, mention_zscores,
-        universe, cashtag_mentions, unknown_cashtags, mentions_best_route, high_confidence_mentions, corpus_stopwords, symbol_tiers, clean_names,
-        project_comments, withdrawn_filter, retention_report, live_only, compare_sources, collection_stats, archive_months, archive_roundtrip, manifest_latest, manifest_summary, pending_units,
+        latest_bars, bar_returns, window_returns, forward_return, dollar_volume_bucket, listing_flags, price_status, price_status_report, price_status_lists, price_outcomes, cache_keys, chart_bars, symbol_event_stack, mention_zscores,
+        universe, cashtag_mentions, unknown_cashtags, mentions_best_route, high_confidence_mentions, corpus_stopwords, symbol_tiers, listed_universe, mentions_in_order, clean_names,
+        project_comments, withdrawn_filter, retention_report, live_only, compare_sources, collection_stats, archive_months, archive_roundtrip, manifest_latest, manifest_summary, pending_units, crawl_issues, last_issues, archive_month_list, archive_purged, api_records,
         thread_classify, thread_types, thread_dedupe, thread_merge, threads_from_posts, thread_coverage, thread_coverage_report, cap_per_group, truncated_threads, thread_comments, crawl_stats, month_windows, day_spine,
         parse_timestamp, normalise_rows, ingest_outcome, ingest_report, dedupe_first, paginate, crowded_seconds, stream_daily_authors,
     )

@@ -170,6 +170,24 @@ SQL: dict[str, str] = {
     "live_only": f"select {key('link_id')} as id, row_id from comments where {key('link_id')} in (select id from threads where id is not null)",
     "compare_sources": f"with c as (select row_id, {key('id')} as id, {gone('body')} as g, _source from comments), a as (select id, count_if(not g) as texts from c where _source = 'archive' and id is not null group by all), b as (select id, arg_max(g, row_id) as g from c where _source = 'api' and id is not null group by all) select count_if(a.id is not null and b.id is not null) as in_both, count_if(b.id is null) as archive_only, count_if(a.id is null) as api_only, cast(coalesce(sum(texts) filter (where b.g), 0) as bigint) as text_lost_to_deletion, round(count_if(a.id is not null and b.id is not null) / count(*), 8) as overlap_share from a full join b on a.id = b.id",
     "collection_stats": f"select count_if(not {gone('body')}) as comments, count_if({gone('body')}) as deleted, round(count_if({gone('body')}) / count_if(not {gone('body')}), 8) as deleted_share from comments where _source = 'api'",
+    "price_status_lists": f"with {_STATUS} select status, string_agg(symbol, ',' order by symbol) as symbols from status group by all",
+    "price_outcomes": f"select distinct s as symbol, case when s in (select {sym('symbol')} from price_series where {sym('symbol')} is not null) then 'bars' end as payload, case when s in (select {sym('symbol')} from price_series where {sym('symbol')} is not null) then 'ok' when contains(s, '.') then 'error' else 'no_data' end as status from (select {sym('symbol')} as s from mentions) where s is not null",
+    "cache_keys": "select mention_id, replace(symbol, '/', '_') as cache_key from mentions",
+    "listed_universe": f"""with own as (select upper(trim(symbol)) as symbol, trim(lower(symbol)) as name, false as etf, 0 as priority from price_series where trim(symbol) <> ''
+        union all select {sym('symbol')}, lower({sym('symbol')}), {sym('symbol')} like 'V%', 1 from mentions where {sym('symbol')} is not null),
+      u as (select symbol, arg_min(name, priority) as name, bool_or(etf) as is_etf, min(priority) as name_rank from own group by all),
+      w as (select word, count(*) as n from (select unnest(regexp_split_to_array(lower(title), '[^a-z]+')) as word from posts) where word <> '' group by all),
+      z as (select word, log10(n * 1e9 / sum(n) over ()) as zipf from w)
+      select u.symbol, name, name_rank, is_etf, case when u.symbol in ({words(m.CASHTAG_ONLY)}) then 'cashtag_only' when u.symbol in ({words(m.CONTEXT_REQUIRED)}) then 'context_required'
+        when lower(u.symbol) in ({words(m.TRADE_WORDS)}) or coalesce(zs.zipf, 0) >= 5.0 then 'cashtag_only' when coalesce(zs.zipf, 0) >= 3.8 then 'context_required' else 'safe' end as tier,
+        name <> '' and name not in ({words(m.TRADE_WORDS)}) and coalesce(zn.zipf, 0) < 5.0 as name_matchable, coalesce(zn.zipf, 0) >= 3.8 as name_needs_context
+      from u left join z zs on zs.word = lower(u.symbol) left join z zn on zn.word = u.name""",
+    "mentions_in_order": f"with {_UNIVERSE}, {_TAGS}, {_TOKENS}, best as (select doc_id, symbol, arg_max(method, confidence) as method from ways group by all) select doc_id, string_agg(symbol || ':' || method, ',' order by symbol) as mentions from best group by all",
+    "crawl_issues": f"select unit_key, 'truncated' as kind, cast(n as varchar) as detail from (select {key('link_id')} as unit_key, count(*) as n from comments group by all) where unit_key is not null and n >= 20",
+    "last_issues": f"select unit_key, 'truncated' as kind, cast(n as varchar) as detail from (select {key('link_id')} as unit_key, count(*) as n from comments group by all) where unit_key is not null and n >= 20 order by unit_key desc limit 10",
+    "archive_month_list": f"select distinct {_MONTH} as month from comments where created_utc is not null",
+    "archive_purged": f"select {_MONTH} as month, id, created_utc, body from comments where created_utc is not null and not {gone('body')}",
+    "api_records": f"select row_id, id, coalesce(author, '[deleted]') as author, body, created_utc, score, 't3_th' as link_id, 'th' as _thread_id, 'daily' as _thread_type, 's' as _subreddit, 'api' as _source from comments where _source = 'api' and not {gone('body')}",
     "archive_months": f"select {_MONTH} as month, count(*) as n from comments where created_utc is not null group by all",
     "archive_roundtrip": f"select {_MONTH} as month, " + ", ".join(COMMENT_TAGGED.fieldNames()) + " from comments where created_utc is not null",
     "manifest_latest": f"with {_DONE} select * from latest",
