@@ -5,7 +5,8 @@ byte symbols. A pair occurrence index maps each mergeable pair to all its positi
 applied in ascending order, each to all of its positions at once (numpy), and only the lists of the pairs that a
 merge touches are updated. The ids of a text are then gathered from those of its words.
 
-The scan reads two columns and nothing is shuffled. The tokenizer's file is a parameter and read once per worker.
+The scan reads two columns and nothing is shuffled. The tokenizer's file is a parameter; the driver reads it and sends
+it to the workers (a vocabulary has a fixed size), which need no such file.
 
 Cases: null and empty text give the empty list; blank text is text (its ids are those of its white space); strings
 of special tokens inside a text are ordinary text; a text of any length and a word of any length are encoded whole;
@@ -17,12 +18,12 @@ from __future__ import annotations
 import heapq
 import json
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from tidewake.session import spread
 
@@ -44,9 +45,9 @@ def byte_letters() -> dict[str, int]:
 class PairIndexBPE:
     """A byte-level BPE vocabulary, and the encoding of many words at once by a pair occurrence index."""
 
-    def __init__(self, path: str) -> None:
-        with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+    def __init__(self, path: str, text: str | None = None) -> None:
+        """``text``: what the file of ``path`` holds, where it is not there."""
+        model = json.loads(Path(path).read_text(encoding="utf-8") if text is None else text)["model"]
         vocab: dict[str, int] = model["vocab"]
         self.byte_id = np.zeros(256, np.int32)
         for letter, b in byte_letters().items():
@@ -156,14 +157,21 @@ class PairIndexBPE:
         return ids, bounds[np.concatenate(([0], np.cumsum([len(ws) for ws in cut], dtype=np.int64)))]
 
 
-@lru_cache(2)
-def tokenizer(path: str) -> PairIndexBPE:
-    return PairIndexBPE(path)
+#: Vocabularies of this worker, by path.
+_LOADED: dict[str, PairIndexBPE] = {}
 
 
-def _encoder(path: str, lengths: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def tokenizer(path: str, text: Callable[[], str]) -> PairIndexBPE:
+    if path not in _LOADED:
+        _LOADED[path] = PairIndexBPE(path, text())
+    return _LOADED[path]
+
+
+def _encoder(spark: SparkSession, path: str, lengths: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    sent = spark.sparkContext.broadcast(Path(path).read_text(encoding="utf-8"))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = tokenizer(path)
+        bpe = tokenizer(path, lambda: sent.value)
         for b in batches:
             ids, bounds = bpe.encode(b.column(1).to_pylist())
             if lengths:
@@ -176,9 +184,9 @@ def _encoder(path: str, lengths: bool) -> Callable[[Iterator[pa.RecordBatch]], I
 
 def encode_corpus(documents: DataFrame, path: str = TOKENIZER) -> DataFrame:
     """``doc_id, ids`` of every document, without special tokens."""
-    return spread(documents.select("doc_id", "text"), "doc_id").mapInArrow(_encoder(path, False), "doc_id long, ids array<int>")
+    return spread(documents.select("doc_id", "text"), "doc_id").mapInArrow(_encoder(documents.sparkSession, path, False), "doc_id long, ids array<int>")
 
 
 def token_counts(documents: DataFrame, path: str = TOKENIZER) -> DataFrame:
     """``doc_id, n_tokens`` of every document, by the same encoding."""
-    return spread(documents.select("doc_id", "text"), "doc_id").mapInArrow(_encoder(path, True), "doc_id long, n_tokens long")
+    return spread(documents.select("doc_id", "text"), "doc_id").mapInArrow(_encoder(documents.sparkSession, path, True), "doc_id long, n_tokens long")
