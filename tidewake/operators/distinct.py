@@ -51,8 +51,8 @@ def identifier_groups(pairs: DataFrame, by: list[str], ident: str = "author", fi
             for lv in levels
         ]
     )
-    # one shuffle on (range, identifier): every later deduplication of that identifier is local to its partition
-    spread = fine.select(*fixed, "range", ident, *by).repartition("range", ident)
+    # one shuffle on the range: every later deduplication of its identifiers is local to the task that holds it
+    spread = fine.select(*fixed, "range", ident, *by).repartition("range")
     cell = spread.select(*fixed, "range", ident, F.explode(cells).alias("cell")).where("cell is not null").select(*fixed, "range", ident, "cell.*")
     return cell.distinct()
 
@@ -85,7 +85,9 @@ def distinct_authors(mentions: DataFrame, comments: DataFrame, attention: DataFr
     Symbols of ``attention`` that nobody mentioned come out with 0.
     """
     by = ["day", "symbol", "subreddit"]
-    counted = merge_partials(partial_counts(sightings(mentions, "mentions").unionByName(sightings(comments, "comments")), by), by)
+    groups = identifier_groups(sightings(mentions, "mentions").unionByName(sightings(comments, "comments")), by)
+    # a task holds whole ranges, so that what it counts before the shuffle are counts of its ranges; the shuffle adds them up
+    counted = groups.groupBy("source", "level", *by).agg(F.count(F.lit(1)).alias("n_distinct")).withColumn("error_bound", F.lit(0.0))
     asked = attention.select(norm_symbol(F.col("symbol")).alias("symbol")).where("symbol is not null").distinct()
     zero = asked.select(
         F.lit("mentions").alias("source"), F.lit("symbol").alias("level"), F.lit(None).cast("date").alias("day"), "symbol", F.lit(None).cast("string").alias("subreddit"), F.lit(0).cast("long").alias("n_distinct"), F.lit(0.0).alias("error_bound")
