@@ -107,9 +107,7 @@ def headers(lines: DataFrame) -> DataFrame:
     )
     found = one.groupBy("feed", "file_seq", "file_name", "name").agg(F.coalesce(F.bit_or(bits), F.lit(0)).alias("bits"), profile.alias("profile"))
     types = F.filter(F.array(*[F.when(F.col("bits").bitwiseAND(1 << i) != 0, t) for i, t in enumerate(TYPES)]), lambda t: t.isNotNull())
-    # a file has as many records as the name most of them hold
-    records = F.max("profile.met").over(Window.partitionBy("feed", "file_seq", "file_name"))
-    return found.select("feed", "file_seq", "file_name", "name", types.alias("types"), F.col("profile").withField("records", records).alias("profile"))
+    return found.select("feed", "file_seq", "file_name", "name", types.alias("types"), "profile")
 
 
 def distinct(mins: list[int]) -> float:
@@ -158,11 +156,11 @@ def pair_names(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Renamed pairs of each file from the names that went and those that came (as many as a file has names, at most)."""
     for pdf in batches:
         out: list[tuple[Any, ...]] = []
-        for feed, seq, file, went, came in zip(pdf["feed"], pdf["file_seq"], pdf["file_name"], pdf["went"], pdf["came"]):
+        for feed, seq, file, went, came, *records in zip(*(pdf[c] for c in ("feed", "file_seq", "file_name", "went", "came", "records_before", "records_now"))):
             found = []
             for o in went:
                 for n in came:
-                    s = alike(o["profile"], n["profile"]) + 0.4 * (o["name"].lower().replace("_", "") == n["name"].lower().replace("_", ""))
+                    s = alike(*({**x["profile"], "records": r} for x, r in zip((o, n), records))) + 0.4 * (o["name"].lower().replace("_", "") == n["name"].lower().replace("_", ""))
                     if s >= LEAST:
                         found.append((-s, o["name"], n["name"]))
             used: set[tuple[str, str]] = set()
@@ -175,9 +173,12 @@ def pair_names(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def renames(beside: DataFrame) -> DataFrame:
     """``feed, file_seq, file_name, old, new`` of every renamed field."""
-    side = F.struct("name", "profile")
-    moved = beside.where(F.col("now").isNull() != F.col("before").isNull()).select("feed", "file_seq", "file_name", "name", F.coalesce("now", "before").getField("profile").alias("profile"), F.col("now").isNotNull().alias("come"))
-    both = moved.groupBy("feed", "file_seq", "file_name").agg(F.collect_list(F.when(~F.col("come"), side)).alias("went"), F.collect_list(F.when(F.col("come"), side)).alias("came")).where("size(went) > 0 and size(came) > 0")
+    went, came = F.col("now").isNull(), F.col("before").isNull()
+    # a file has as many records as the name most of them hold
+    both = beside.groupBy("feed", "file_seq", "file_name").agg(
+        F.collect_list(F.when(went, F.struct("name", F.col("before.profile").alias("profile")))).alias("went"), F.collect_list(F.when(came, F.struct("name", F.col("now.profile").alias("profile")))).alias("came"),
+        F.max("before.profile.met").alias("records_before"), F.max("now.profile.met").alias("records_now"),
+    ).where("size(went) > 0 and size(came) > 0")
     return both.mapInPandas(pair_names, "feed string, file_seq int, file_name string, old string, new string")
 
 
