@@ -7,8 +7,9 @@
    is checked exactly: split at double quotes, the pieces at even places lie outside quotes and must begin and end
    at a delimiter (or be the empty piece of a doubled quote). The same pieces give the exact fields of such a row.
 
-Everything runs inside the JVM in one pass over the rows. Headers are joined by file name: broadcast if counted to
-be few, else a shuffled join that AQE splits, as one file may hold a third of all rows.
+Everything runs inside the JVM in one pass over the headers and one over the rows. Layouts are written once and joined
+by file name: broadcast if their bytes are few, else a shuffled join that AQE splits, as one file may hold a third of
+all rows.
 
 Cases: a null record or a file without header fails by ``columns``; an empty file (header only) gives no rows; a
 line_no 1 that occurs twice counts once (the smaller line_id); very long fields and line breaks inside fields are
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tidewake.functions.instants import HIGHEST, LOWEST
 from tidewake.functions.keys import blank, strip
-from tidewake.session import join_small
+from tidewake.session import materialise
 
 DELIMITERS = (",", ";", "|", "\t")
 #: Headers wider than this are read by the exact path only.
@@ -90,10 +91,11 @@ def read_permissively(lines: DataFrame) -> DataFrame:
 
     ``corrupt`` is the raw text of a record the CSV parser could not bring under its file's schema.
     """
-    lay = layouts(lines)
+    # written once, a row per file: the table is read for it and for the rows, and the join knows its size in bytes
+    lay = materialise(layouts(lines))
     # at most 4 * 64 schemas, however many files there are
     shapes = lay.select("delim", F.size("names").alias("width")).where(F.size("names") <= WIDEST).distinct().collect()
-    rows = join_small(lines.where("line_no > 1").select("line_id", "file_name", "line_no", "raw"), lay, ["file_name"])
+    rows = lines.where("line_no > 1").select("line_id", "file_name", "line_no", "raw").join(lay, "file_name", "left")
     width = F.size("names")
     parsed = F.lit(None).cast("struct<fields:array<string>,corrupt:string>")
     for x in shapes:
