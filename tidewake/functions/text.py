@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidewake.functions.keys import WHITE, strip
 from tidewake.schemas import WITHDRAWN
 
+# What a cashtag is, and the characters stripped from a word's ends.
 #: ``$`` and one to five letters, perhaps a class after a dot, ending at a word's end.
 CASHTAG = r"(?U)\$([A-Za-z]{1,5})(?:\.([A-Za-z]))?\b"
 EDGES = ".,!?:;()[]\"'"

@@ -67,6 +67,7 @@ def drift_verdict(stack: DataFrame, pre: tuple[int, int] = (-5, -1), post: tuple
         return F.coalesce(F.sum(F.when(F.col("offset").between(*r), F.col("mean_return"))), F.lit(0.0))
 
     a, b = F.col("pre_drift"), F.col("post_drift")
+    # The texts of the verdicts
     verdict = (
         F.when((F.abs(a) < 1e-9) & (F.abs(b) < 1e-9), "no movement either side")
         .when(b > F.abs(a), "chatter leads price")
